@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelog.llm import chat_format, decontaminate, line_dedup, media, mixing, quality, simhash, token_counts
+from framelog.llm import chat_format, decontaminate, html_extract, line_dedup, media, mixing, quality, simhash, token_counts
 from framelog.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
 
@@ -44,5 +48,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_simhash, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_simhash, op8_html_extract, op9_mixing, op10_media)}
 ORACLES = {"op4_chat_format": chat_format.SQL, "op6_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
