@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelog.llm import chat_format, decontaminate, html_extract, line_dedup, media, mixing, quality, simhash, token_counts
+from framelog.llm import chat_format, decontaminate, html_extract, line_dedup, media, mixing, quality, simhash, suffix_dedup, token_counts
 from framelog.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.with_digest(suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +52,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_simhash, op8_html_extract, op9_mixing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_token_counts, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_simhash, op8_html_extract, op9_mixing, op10_media)}
 ORACLES = {"op4_chat_format": chat_format.SQL, "op6_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
