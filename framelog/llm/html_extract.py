@@ -231,9 +231,10 @@ def low_importance(pages: DataFrame) -> DataFrame:
         counts = nodes.groupBy("host", "node", of).agg(F.count(F.lit(1)).alias("n"))
         total = counts.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
         # -sum p log p, over log m: 1 when all pages differ, 0 when all are alike
-        return total.select("host", "node", F.col("m").alias("pages"), (1 - F.col("nlogn") / (F.col("m") * F.ln("m"))).alias(f"{of}_entropy"))
+        even = F.try_divide(F.col("nlogn"), F.col("m") * F.ln("m"))
+        return total.where(F.col("m") >= MIN_PAGES).select("host", "node", (1 - even).alias(f"{of}_entropy"))
 
-    style, content = entropies("style").where(F.col("pages") >= MIN_PAGES), entropies("content").drop("pages")
+    style, content = entropies("style"), entropies("content")
     both = style.join(content, ["host", "node"]).where(F.greatest("style_entropy", "content_entropy") < MIN_IMPORTANCE)
     return both.groupBy("host").agg(F.collect_list("node").alias("cut"))
 
