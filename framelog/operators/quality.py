@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framelog.schema import CORRUPT, DRIVER_ERROR, GAP_BEFORE, NOT_OK
 
-_BY_INDEX = Window.partitionBy("session").orderBy("index")
+
+def _by_index() -> WindowSpec:
+    """Neighbours in a session, in order of arrival."""
+    return Window.partitionBy("session").orderBy("index")
 
 
 def ok(flags: Column) -> Column:
@@ -40,13 +43,13 @@ def sampled(frames: DataFrame, target: int = 200) -> DataFrame:
 
 def sequence_gaps(frames: DataFrame) -> DataFrame:
     """dropped_before from sequence numbers in order of arrival, and the flags with GAP_BEFORE where something was dropped."""
-    lost = F.greatest(F.lit(0).cast("long"), F.col("seq") - F.lag("seq").over(_BY_INDEX) - 1)
+    lost = F.greatest(F.lit(0).cast("long"), F.col("seq") - F.lag("seq").over(_by_index()) - 1)
     return frames.withColumn("dropped_before", lost).withColumn("flags", F.when(F.col("dropped_before") > 0, F.col("flags").bitwiseOR(GAP_BEFORE)).otherwise(F.col("flags")))
 
 
 def deltas(frames: DataFrame) -> DataFrame:
     """(session, index, from_ns, to_ns, delta_ns) of neighbouring frames; index is the earlier one's."""
-    to = F.lead("ts_ns").over(_BY_INDEX)
+    to = F.lead("ts_ns").over(_by_index())
     d = frames.select("session", "index", F.col("ts_ns").alias("from_ns"), to.alias("to_ns")).where("to_ns is not null")
     return d.withColumn("delta_ns", F.col("to_ns") - F.col("from_ns"))
 
@@ -68,7 +71,7 @@ def gaps(frames: DataFrame, factor: float = 1.5) -> DataFrame:
 def regressions(frames: DataFrame) -> DataFrame:
     """(session, regressions, first_regression): how often time runs backwards, and where first."""
     back = F.col("ts_ns") < F.col("_previous")
-    seen = frames.withColumn("_previous", F.lag("ts_ns").over(_BY_INDEX))
+    seen = frames.withColumn("_previous", F.lag("ts_ns").over(_by_index()))
     return seen.groupBy("session").agg(F.count_if(back).alias("regressions"), F.min(F.when(back, F.col("index"))).alias("first_regression"))
 
 
@@ -88,7 +91,7 @@ def verify(frames: DataFrame, checks: DataFrame | None = None, manifests: DataFr
     held against a session. Sessions of the manifests without frames are reported and not usable.
     """
     back = F.col("ts_ns") < F.col("_previous")
-    seen = frames.withColumn("_previous", F.lag("ts_ns").over(_BY_INDEX))
+    seen = frames.withColumn("_previous", F.lag("ts_ns").over(_by_index()))
     dropped = F.sum(F.when(F.col("flags") != 0, F.col("dropped_before")).otherwise(0))
     bit = lambda b: F.count_if(F.col("flags").bitwiseAND(b) != 0)
     out = seen.groupBy("session").agg(
