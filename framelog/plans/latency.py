@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelog.functions.barcode import band_columns, decode_columns
-from framelog.functions.jpeg_dc import dc_image
+from framelog.functions.barcode import read_pattern
 from framelog.functions.scalars import latency_ms
 
 
 def latencies(payloads: DataFrame) -> DataFrame:
-    """payloads (session, ts_ns, data) with jpeg_error, pattern_error, latency_ms and plausible: each stage works on what the one before it could read."""
-    p = payloads.withColumn("_image", dc_image("data")).withColumn("jpeg_error", F.col("_image.error"))
-    p = p.withColumn("_columns", F.when(F.col("jpeg_error").isNull() & F.col("_image.samples").isNotNull(), band_columns(F.col("_image"))))
-    p = p.withColumn("_value", decode_columns("_columns")).withColumn("pattern_error", F.col("_value.error"))
-    p = p.withColumn("latency_ms", latency_ms(F.col("ts_ns"), F.col("_value.value")))
-    return p.withColumn("plausible", (F.col("latency_ms") > -50) & (F.col("latency_ms") < 1000)).drop("_image", "_columns", "_value", "data")
+    """payloads (session, ts_ns, data) with jpeg_error, pattern_error, latency_ms and plausible."""
+    p = payloads.withColumn("_read", read_pattern("data")).drop("data").select("*", "_read.jpeg_error", "_read.pattern_error", F.col("_read.value").alias("_value")).drop("_read")
+    p = p.withColumn("latency_ms", latency_ms(F.col("ts_ns"), F.col("_value"))).drop("_value")
+    return p.withColumn("plausible", (F.col("latency_ms") > -50) & (F.col("latency_ms") < 1000))
 
 
 def summary(measured: DataFrame, *keys: str) -> DataFrame:

@@ -112,5 +112,5 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def torn_bytes(files: DataFrame) -> DataFrame:
-    """(path, frames, truncated_bytes) of index files read as binaryFile; 0 for an empty one."""
+    """(path, frames, truncated_bytes) of index files read as binaryFile, which has no row for an empty file."""
     return files.select("path", F.expr(f"length(content) div {RECORD_BYTES}").cast("long").alias("frames"), F.expr(f"cast(length(content) % {RECORD_BYTES} as long)").alias("truncated_bytes"))
