@@ -235,89 +235,6 @@ class Classifier:
 
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
-
-def fit(cls, x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 2) -> Network:
-        rng = np.random.default_rng(seed)
-        if not len(y) or y.min() == y.max():  # nothing to tell apart: a constant score
-            at = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-            return cls(np.zeros(FEATURES), np.ones(FEATURES), [np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), np.array([at])], 1.0)
-        aside = rng.random(len(y)) < 0.2
-        if not aside.any() or len(set(y[~aside])) < 2:
-            aside[:] = False
-        net = cls(x.mean(0), x.std(0) + 1e-3, [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)], 1.0)
-        z, t = (x[~aside] - net.mean) / net.scale, y[~aside].astype(float)
-        m, v = [np.zeros_like(p) for p in net.layers], [np.zeros_like(p) for p in net.layers]
-        step = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(t))
-            for lo, hi in pairwise([*range(0, len(t), batch), len(t)]):
-                i = order[lo:hi]
-                a, b, c, d = net.layers
-                h = np.maximum(z[i] @ a + b, 0)
-                g = (1 / (1 + np.exp(-np.clip(h @ c + d[0], -40, 40))) - t[i]) / len(i)
-                back = np.outer(g, c) * (h > 0)
-                step += 1
-                for k, grad in enumerate((z[i].T @ back + decay * a, back.sum(0), h.T @ g + decay * c, np.array([g.sum()]))):
-                    m[k] += 0.1 * (grad - m[k])
-                    v[k] += 0.001 * (grad**2 - v[k])
-                    net.layers[k] = net.layers[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if aside.any():
-            logit, t = net.logits(x[aside]), y[aside].astype(float)
-            grid = np.geomspace(0.25, 8, 81)
-            losses = [np.logaddexp(0, np.where(t > 0, -1, 1) * logit / s).mean() for s in grid]
-            net.temperature = float(grid[int(np.argmin(losses))])
-        return net
-
-
-def sample_ids(labels: DataFrame, bound: int) -> DataFrame:
-    """(doc_id, label) of at most ``bound`` labelled rows that may be learned from; a document labelled more than once counts by majority."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-
-
-def _vectors(sample: DataFrame) -> np.ndarray:
-    part = 512
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = context_sums(t.as_py() for b in batches for t in b.column("text"))
-        for k in range(BUCKETS // part):
-            block = sums[k * part : (k + 1) * part]
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["block", "sums"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(s), np.int64) for s in pdf["sums"])
-        return pd.DataFrame({"block": pdf["block"][:1], "sums": [zlib.compress(total.tobytes(), 1)]})
-
-    blocks = sample.select("text").mapInArrow(partial, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
-    sums = np.zeros((BUCKETS, DIM), np.int64)
-    for r in blocks.toLocalIterator():  # BUCKETS * DIM numbers whatever the input
-        sums[r["block"] * part : (r["block"] + 1) * part] = np.frombuffer(zlib.decompress(r["sums"]), np.int64).reshape(part, DIM)
-    return word_vectors(sums)
-
-
-def _pooled(words: Words, vectors: np.ndarray, texts: pa.Array) -> np.ndarray:
-    return np.array([features(words, vectors, t.as_py()) for t in texts]).reshape(-1, FEATURES)
-
-
-class Classifier:
-    """Word vectors and network; small and of fixed size, so it is broadcast."""
-
-    def __init__(self, vectors: np.ndarray, network: Network):
-        self.vectors, self.network = vectors, network
-
-    def scores(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """(key, score) of every row of docs; key is ``id_col``."""
-        spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-        shared = spark.sparkContext.broadcast(self)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            yield from _pooled(c.vectors, c.network.score)(batches, c.vectors)
-
-        return docs.select(id_col, "text").mapInArrow(run, f"key {kind}, value double").select("key", F.col("value").alias("score"))
-
     def accepted(self, docs: DataFrame, threshold: float) -> DataFrame:
         """The rows of docs, with all their columns, that score ``threshold`` or more."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
