@@ -147,7 +147,9 @@ class Network:
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.layers
-        return np.maximum(((x - self.mean) / self.scale) @ a + b, 0) @ c + d[0]
+        z = (x - self.mean) / self.scale
+        # row by row: a product of matrices would depend on which rows share a batch, in its last bits
+        return np.array([np.maximum(r @ a + b, 0) @ c + d[0] for r in z])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
