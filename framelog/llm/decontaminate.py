@@ -117,11 +117,14 @@ class Block:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """(matches, start, stop) of the run with the greatest matches - PENALTY * substitutions; the first of equals."""
+    """(matches, start, stop) of the run with the greatest matches - PENALTY * substitutions; the longest of equals, then the last."""
     score = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
     low = np.minimum.accumulate(score)
-    stop = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: stop + 1] == low[stop])[-1])
+    gain = score - low
+    ends = np.flatnonzero(gain == gain.max())
+    starts = np.searchsorted(-low, -low[ends])
+    k = len(ends) - 1 - int(np.argmax((ends - starts)[::-1]))
+    start, stop = int(starts[k]), int(ends[k])
     return int(same[start:stop].sum()), start, stop
 
 
