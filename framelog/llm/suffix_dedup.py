@@ -34,8 +34,8 @@ from framelog.llm.suffix_sort import BASE, INVERSE, VALUES, Suffixes, mixed, pow
 LENGTH, K = 50, 24
 SIDE = LENGTH - K
 WINDOWS, WIDE = SIDE + 1, K + 2 * SIDE
-#: Bytes hashed at a time.
-PIECE = 1 << 21
+#: Bytes hashed at a time, and bytes of documents whose anchors are held at a time (more for a longer document).
+PIECE, SLICE = 1 << 20, 6 << 20
 #: Mean content of a bucket: anchors, bytes of documents, contexts.
 ANCHORS, TEXT, CONTEXTS = 400_000, 6 << 20, 40_000
 #: K-grams with more contexts than this are dealt out window by window.
@@ -155,9 +155,20 @@ def _six(h: np.ndarray) -> np.ndarray:
     return h.view(np.uint8).reshape(-1, 8)[:, :6]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in parts of some SLICE bytes."""
+    texts = batch.column(1)
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _map_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int, n_docs: int) -> Iterator[pa.RecordBatch]:
     """Anchors of documents by bucket of their K-gram; what a batch can settle alone goes by bucket of the document (negative keys)."""
-    for batch in batches:
+    for batch in (part for b in batches for part in _slices(b)):
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
         raw = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
