@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelog.functions import scalars as S
-from framelog.operators import asof, quality, runs, segments, stats
+from framelog.operators import asof, devices, quality, runs, segments, stats
 from framelog.operators import events as changes
 from framelog.sources import events, exports, index
 from framelog.sources.events import frames, log
@@ -404,7 +404,7 @@ def fourcc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE event_id * 8192 & 57344 WHEN 0 THEN 'unknown' WHEN 8192 THEN 'monotonic' WHEN 16384 THEN 'copy' ELSE 'unrecognised' END AS clock,
-CASE event_id * 65536 & 458752 WHEN 0 THEN 'end of frame' WHEN 65536 THEN 'start of exposure' ELSE 'unrecognised' END AS source FROM events""")
+CASE event_id * 65536 & 458752 WHEN 0 THEN 'end-of-frame' WHEN 65536 THEN 'start-of-frame' ELSE 'unrecognised' END AS source FROM events""")
 def clock_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", S.clock(F.col("event_id") * 8192).alias("clock"), S.timestamp_source(F.col("event_id") * 65536).alias("source"))
 
@@ -418,16 +418,37 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'DP-' || s_suppkey || ' disconnected' ELSE 'HDMI-' || s_suppkey || ' connected ' ||
-CASE WHEN s_suppkey % 2 = 0 THEN 'primary ' ELSE '' END || (s_suppkey * 10) || 'x' || (s_suppkey * 5) || '+' || s_suppkey || '+0 (normal)' END AS line FROM supplier)
-SELECT s_suppkey, 'HDMI-' || s_suppkey AS name, s_suppkey % 2 = 0 AS is_primary, (s_suppkey * 10)::INTEGER AS width, (s_suppkey * 5)::INTEGER AS height, s_suppkey::INTEGER AS x, 0::INTEGER AS y FROM l WHERE s_suppkey % 3 <> 0""")
+@query("""SELECT s_suppkey, 'HDMI-' || s_suppkey AS name, s_suppkey % 2 = 0 AS is_primary, (s_suppkey * 10)::INTEGER AS width, (s_suppkey * 5)::INTEGER AS height,
+s_suppkey::INTEGER AS x, 0::INTEGER AS y FROM supplier WHERE s_suppkey % 3 <> 0""")
 def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.expr("""case when s_suppkey % 3 = 0 then concat('DP-', s_suppkey, ' disconnected') else concat('HDMI-', s_suppkey, ' connected ',
-        if(s_suppkey % 2 = 0, 'primary ', ''), s_suppkey * 10, 'x', s_suppkey * 5, '+', s_suppkey, '+0 (normal)') end""")
+    line = F.expr("""if(s_suppkey % 3 = 0, concat('Monitors: ', s_suppkey), concat(' ', s_suppkey, ': +', if(s_suppkey % 2 = 0, '*', ''), 'HDMI-', s_suppkey, ' ',
+        s_suppkey * 10, '/344x', s_suppkey * 5, '/215+', s_suppkey, '+0  HDMI'))""")
     out = _table(spark, sf_dir, "supplier").select("s_suppkey", S.output_line(line).alias("o")).where("o is not null")
     return out.select("s_suppkey", "o.name", F.col("o.primary").alias("is_primary"), "o.width", "o.height", "o.x", "o.y")
 
 
+@query("""SELECT c_nationkey AS site, CASE WHEN count(*) FILTER (c_mktsegment <> 'BUILDING') = 1 THEN min(c_name) FILTER (c_mktsegment <> 'BUILDING') END AS name FROM customer GROUP BY 1""")
+def external_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only customer of a nation outside one segment, as the only output of a machine that isn't the primary one."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("primary"))
+    return devices.pick_external(c, "site")
+
+
+@query("""SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 13, 'video' || (s_suppkey % 13), s_suppkey) AS place FROM supplier""")
+def node_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by their trailing number and then by name; a table of one machine's devices, so one window orders it."""
+    s = _table(spark, sf_dir, "supplier").withColumn("node", F.concat(F.lit("video"), F.col("s_suppkey") % 13))
+    return s.select("s_suppkey", F.row_number().over(Window.orderBy(*devices.node_key(F.col("node")), "s_suppkey")).cast("long").alias("place"))
+
+
+@query("""SELECT p_partkey, p_type || ' ' || p_size || 'x' || p_size || ' @' || (p_partkey % 60 + 1) || ' -> ' || printf('%.1f', p_size::DOUBLE) || ' fps  ' || printf('%.0f', p_retailprice * 100 / 1024) ||
+' KB/frame  dropped=0 corrupt=1' || CASE WHEN p_size::DOUBLE / (p_partkey % 60 + 1) < 0.9 THEN '  <- claims ' || (p_partkey % 60 + 1) || ', delivers ' || printf('%.1f', p_size::DOUBLE) ELSE '' END AS line FROM part""")
+def mode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, asked = F.col("p_size"), (F.col("p_partkey") % 60 + 1).cast("double")
+    line = S.mode_summary(F.col("p_type"), size, size, asked, size.cast("double"), F.col("p_retailprice") * 100, F.lit(0), F.lit(1), F.lit(None).cast("string"))
+    return _table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'a=b' AS note FROM events")
 def notes_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(F.concat(F.lit("k="), F.get_json_object("props", "$.k")), F.lit("note=x"), F.lit("note=a=b"))
