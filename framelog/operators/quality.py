@@ -34,6 +34,15 @@ def stride(frames: DataFrame, k: int) -> DataFrame:
     return frames.where(F.col("index") % k == 0)
 
 
+def limited(frames: DataFrame, *, count: int | None = None, seconds: float | None = None) -> DataFrame:
+    """The first frames of each session: ``count`` of them, or those less than ``seconds`` after the first, or both."""
+    out = frames if count is None else frames.where(F.col("index") < count)
+    if seconds is None:
+        return out
+    begin = frames.groupBy("session").agg(F.min_by("ts_ns", "index").alias("_begin"))
+    return out.join(begin, "session").where(F.col("ts_ns") < F.col("_begin") + int(seconds * 1e9)).drop("_begin")
+
+
 def sampled(frames: DataFrame, target: int = 200) -> DataFrame:
     """First, last and evenly spaced frames of each session, some ``target`` of them; the same ones each time."""
     n = frames.groupBy("session").agg((F.max("index") + 1).alias("_n"))

@@ -149,6 +149,24 @@ def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sampled(frames(spark, sf_dir), 20).select("session", "index")
 
 
+@query("WITH @f SELECT session, index, seq FROM f WHERE index < 5")
+def first_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.limited(frames(spark, sf_dir), count=5).select("session", "index", "seq")
+
+
+@query("WITH @f, n AS (SELECT *, first(ts_ns) OVER (PARTITION BY session ORDER BY index) AS b FROM f) SELECT session, index, seq FROM n WHERE ts_ns < b + 259200000000000")
+def first_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.limited(frames(spark, sf_dir), seconds=3 * 86_400).select("session", "index", "seq")
+
+
+@query("""WITH @f, s AS (SELECT session, count(*) AS frames, (max(ts_ns) - min(ts_ns)) / 1e9 AS d FROM f GROUP BY 1)
+SELECT session, printf('%d frames, %.2f s, USABLE', frames, d) AS line FROM s""")
+def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = quality.sequence_gaps(frames(spark, sf_dir))
+    v = quality.verify(f)
+    return v.select("session", F.format_string("%d frames, %.2f s, %s", "frames", F.bround("duration_s", 2), S.verdict(F.col("usable"))).alias("line"))
+
+
 @query("SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#13' AND p_size = 10")
 def mode_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").where("p_brand = 'Brand#13' and p_size = 10").select("p_partkey", "p_size")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelog.schema import GAP_BEFORE
@@ -27,6 +28,13 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     )
 
 
+def ingest(frames: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to Parquet files by session, exactly once: what a failed batch wrote is not listed and is written again from the
+    source's offsets. Nothing is decoded here; other queries read the files."""
+    out = frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("session").outputMode("append")
+    return out.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def counters(frames: DataFrame) -> DataFrame:
     """Running frames, driver errors and corrupt frames of each session; update mode."""
     bit = lambda b: F.count_if(F.col("flags").bitwiseAND(b) != 0)

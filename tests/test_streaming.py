@@ -70,3 +70,9 @@ def test_silence(spark, folder):
 def test_flag_gap_matches_batch(spark):
     f = spark.createDataFrame([(1, i, i, s, 0, 1) for i, s in enumerate([3, 4, 8])], "session long, index long, ts_ns long, seq long, flags long, length long")
     assert [r.dropped_before for r in quality.sequence_gaps(f).orderBy("index").collect()] == [0, 0, 3]
+
+
+def test_ingest_is_lossless(spark, folder):
+    for _ in range(2):  # a second start finds nothing new
+        S.ingest(S.stream(spark, str(folder / "in")), str(folder / "out"), str(folder / "cp-in"), trigger={"availableNow": True}).awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(str(folder / "out")).collect()) == [0, 1, 5, 6, 9, 10]
