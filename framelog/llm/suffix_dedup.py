@@ -38,6 +38,8 @@ WINDOWS, WIDE = SIDE + 1, K + 2 * SIDE
 PIECE, SLICE = 1 << 20, 6 << 20
 #: Mean content of a bucket: anchors, bytes of documents, contexts.
 ANCHORS, TEXT, CONTEXTS = 400_000, 6 << 20, 40_000
+#: What a context asked for takes, compressed, at least: K-gram and place hardly shrink.
+ASK_BYTES = 10
 #: K-grams with more contexts than this are dealt out window by window.
 HOT = 4_000
 #: Kinds of records: a settled anchor, an anchor like another one of its document, a context asked for, windows of an anchor.
@@ -75,6 +77,18 @@ def split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.
             yield k, parts
 
 
+def records(doc: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns of a document bucket in order of the document, its ids as steps, compressed."""
+    order = np.argsort(doc, kind="stable")
+    return zlib.compress(pack(np.diff(doc[order], prepend=0), *(c[order] for c in columns)), 1)
+
+
+def read_records(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    parts = [unpack([zlib.decompress(b)], "i8", *kinds) for b in blobs]
+    doc = [np.cumsum(p[0]) for p in parts]
+    return [np.concatenate(x) for x in (doc, *zip(*(p[1:] for p in parts), strict=True))] if parts else [np.zeros(0, k) for k in ("i8", *kinds)]
+
+
 def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     """Bucket of a document, as ``doc_bucket_column`` has it."""
     u = doc.view(_U)
@@ -157,6 +171,7 @@ def _six(h: np.ndarray) -> np.ndarray:
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows of a batch in parts of some SLICE bytes."""
+    batch = batch.set_column(1, "data", batch.column(1).cast(pa.binary()))  # a session may send large types
     texts = batch.column(1)
     ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
     at = 0
@@ -183,9 +198,9 @@ def _map_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int, n_docs: int)
         later, like = doc[again] > doc[leader], (doc[again] == doc[leader]) & ~first
         rows: list[tuple[int, int, bytes]] = []
         for k, (d, p) in split(doc_bucket(doc[again[later]], n_docs), doc[again[later]], pos[again[later]]):
-            rows.append((-1 - k, FULL, pack(d, p)))
+            rows.append((-1 - k, FULL, records(d, p)))
         for k, (d, p, q) in split(doc_bucket(doc[again[like]], n_docs), doc[again[like]], pos[again[like]], pos[leader[like]]):
-            rows.append((-1 - k, ALIAS, pack(d, p, q)))
+            rows.append((-1 - k, ALIAS, records(d, p, q)))
         keep = np.concatenate((order[~twice], again[first]))
         keep = keep[np.argsort(gram[keep])]
         bucket = (gram[keep] >> _U(33)).astype(np.int64) * n_buckets >> 31
@@ -225,9 +240,9 @@ def _settle(table: pa.Table, n_docs: int) -> pa.Table:
     rows = []
     later, like = doc > doc[leader], (doc == doc[leader]) & ~first
     for k, (d, p) in split(doc_bucket(doc[later], n_docs), doc[later], pos[later]):
-        rows.append((k, FULL, pack(d, p)))
+        rows.append((k, FULL, records(d, p)))
     for k, (d, p, q) in split(doc_bucket(doc[like], n_docs), doc[like], pos[like], pos[leader[like]]):
-        rows.append((k, ALIAS, pack(d, p, q)))
+        rows.append((k, ALIAS, records(d, p, q)))
     # of each context one is asked for, if its K-gram has another one in another document
     gram, doc, pos, new = gram[first], doc[first], pos[first], new_gram[first]
     starts = np.flatnonzero(new)
@@ -236,7 +251,7 @@ def _settle(table: pa.Table, n_docs: int) -> pa.Table:
         wanted = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), count)
         hot = np.repeat(count > HOT, count)
         for k, (g, d, p, h) in split(doc_bucket(doc[wanted], n_docs), gram[wanted], doc[wanted], pos[wanted], hot[wanted].astype(np.uint8)):
-            rows.append((k, ASK, pack(g, d, p, h)))
+            rows.append((k, ASK, records(d, p, g, h)))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -252,7 +267,7 @@ def _texts(table: pa.Table) -> dict[int | None, list[bytes]]:
 
 def _contexts(left: pa.Table, right: pa.Table, n_buckets: int) -> pa.Table:
     """The contexts that are asked for, by bucket of their K-gram; windows of hot K-grams by bucket of their own hash."""
-    gram, doc, pos, hot = unpack(right.column("blob").to_pylist(), "u8", "i8", "u4", "u1") if right.num_rows else unpack([], "u8", "i8", "u4", "u1")
+    doc, pos, gram, hot = read_records(right.column("blob").to_pylist() if right.num_rows else [], "u4", "u8", "u1")
     if not len(doc):
         return pa.Table.from_batches([_batch([])])
     order = np.argsort(doc, kind="stable")
@@ -285,7 +300,7 @@ def _contexts(left: pa.Table, right: pa.Table, n_buckets: int) -> pa.Table:
         column = _
         settled = doc[i[order]] > doc[i[leader]]
         mine = order[settled]
-        out += [(-1, MASK, pack(doc[i[mine]], pos[i[mine]], _U(1) << column[mine].astype(_U)))] if len(mine) else []
+        out += [(-1, MASK, records(doc[i[mine]], pos[i[mine]], _U(1) << column[mine].astype(_U)))] if len(mine) else []
         send = order[~settled]
         for k, (d, c, a, p, w) in split((digest[send] % _U(n_buckets)).astype(np.int64), digest[send], check[send], doc[i[send]], pos[i[send]], column[send].astype(np.uint8)):
             out.append((n_buckets + k, MASK, pack(d, c, a, p, w)))
@@ -310,7 +325,7 @@ def _compare(table: pa.Table, n_buckets: int, n_docs: int) -> pa.Table:
     """A bucket of contexts: the windows that an earlier document has, as bits for each anchor."""
     key, blobs = table.column("key")[0].as_py(), table.column("blob").to_pylist()
     if key < 0:
-        doc, pos, mask = unpack(blobs, "i8", "u4", "u8")
+        doc, pos, mask = read_records(blobs, "u4", "u8")
     elif key >= n_buckets:
         digest, check, doc, pos, column = unpack(blobs, "u8", "u4", "i8", "u4", "u1")
         order = np.lexsort((doc, check, digest))
@@ -321,7 +336,7 @@ def _compare(table: pa.Table, n_buckets: int, n_docs: int) -> pa.Table:
     else:
         gram, doc, pos, start, stop, *bytes_ = unpack([zlib.decompress(b) for b in blobs], "u8", "i8", "u4", "u1", "u1", *["u1"] * WIDE)
         doc, pos, mask = shared_windows(np.stack(bytes_, axis=1), gram, doc, pos, start, stop)
-    rows = [(k, MASK, pack(*parts)) for k, parts in split(doc_bucket(doc, n_docs), doc, pos, mask)]
+    rows = [(k, MASK, records(*parts)) for k, parts in split(doc_bucket(doc, n_docs), doc, pos, mask)]
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -373,8 +388,8 @@ def covered(n: int, full: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> np.n
 def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
     kinds = right.column("kind").to_numpy() if right.num_rows else np.zeros(0)
     blobs = right.column("blob").to_pylist() if right.num_rows else []
-    of = lambda kind, *dtypes: unpack([b for k, b in zip(kinds, blobs, strict=True) if k == kind], *dtypes)
-    full, alias, masks = of(FULL, "i8", "u4"), of(ALIAS, "i8", "u4", "u4"), of(MASK, "i8", "u4", "u8")
+    of = lambda kind, *dtypes: read_records([b for k, b in zip(kinds, blobs, strict=True) if k == kind], *dtypes)
+    full, alias, masks = of(FULL, "u4"), of(ALIAS, "u4", "u4"), of(MASK, "u4", "u8")
     by = [dict(split(x[0], *x[1:])) for x in (full, alias, masks)]
     none = (np.zeros(0, np.uint32), np.zeros(0, np.uint32)), (np.zeros(0, np.uint32), np.zeros(0, _U))
     out: list[tuple] = []
@@ -431,7 +446,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     settled = checkpoint(sent.groupBy("key").applyInArrow(lambda t: _settle(t, n_docs), record))
     asked = settled.where(F.col("kind") == ASK)
     n_asked = asked.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    n_contexts = n_asked // 21 // CONTEXTS + 1
+    n_contexts = n_asked // ASK_BYTES // CONTEXTS + 1
 
     null_at = F.pmod(F.xxhash64("data"), F.lit(n_docs))  # nothing is known of rows without id: anywhere
     dealt = rows.withColumn("key", F.coalesce(doc_bucket_column(F.col("doc_id"), n_docs), null_at)).repartition("key")
