@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelog.llm.common import BLANKS, ascii_lower
+from framelog.llm.common import BLANKS, ascii_lower, checkpoint
 
 #: Lines in one word of a bitmap.
 WORD_BITS = 63
@@ -32,7 +32,8 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) ->
     line = _lines(docs.where("doc_id is not null")).select("doc_id", F.posexplode("lines").alias("pos", "line"))
     line = line.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
     key = ascii_lower(F.col("line"))
-    line = line.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_chars), key).alias("h2"), "doc_id", "pos")
+    # texts are split and hashed once; what follows samples, sorts and joins these few bytes a line
+    line = checkpoint(line.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_chars), key).alias("h2"), "doc_id", "pos"))
     line = line.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
 
     # rows of one line in one document may straddle two partitions: one row each first, then count
