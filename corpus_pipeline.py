@@ -14,34 +14,40 @@ from pyspark.sql import functions as F
 
 from framelog.llm import decontaminate, line_dedup, mixing, quality, simhash
 from framelog.llm.common import table
+from framelog.session import ship
 
 THRESHOLD = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``THRESHOLD`` go."""
+    ship(spark)
     return quality.fit(docs, table(spark, sf_dir, "labels")).accepted(docs, THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text. No document goes."""
+    ship(spark)
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays; so do rows without doc_id."""
+    ship(spark)
     gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    ship(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every document that is left."""
+    ship(spark)
     return mixing.mix(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
