@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from framelog.llm.common import checkpoint, n_words
 
 #: Mean rows of a bucket of keys, the unit that one task sorts.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 #: A source's rows meet its (single) target row in so many shares.
 SALTS = 16
 
