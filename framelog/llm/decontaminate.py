@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Masks: 1 is compared, 0 is ignored. Weight 7, so that a passage of 13 tokens with a substitution anywhere still shares a seed.
-MASKS = ("1111111", "110110111", "1101010111", "111001001011")
+#: Masks: 1 is compared, 0 is ignored. Those of weight 7 hit a passage of 13 tokens with a substitution anywhere; the last one hits every
+#: run of 13 matches or more with four to a substitution, as some four of its tokens in a row match.
+MASKS = ("1111111", "110110111", "1101010111", "111001001011", "1111")
 #: Tokens of a benchmark block; what is broadcast is some 60 bytes for each.
 BLOCK_TOKENS = 500_000
 #: Tokens of documents seeded at once.
 PIECE = 1 << 18
 #: A substituted token costs as much as so many matching ones earn.
 PENALTY = 4
+#: Tokens of an item at least.
+SHORTEST = 7
 _TOKEN = re.compile(r"\w+")
 
 
@@ -111,8 +114,13 @@ class Block:
         for j, n, shift in laid:
             x, item = texts[j], self.items[n]
             a, b = max(0, -shift), min(len(item), len(x) - shift)
-            matches, start, stop = best_run(x[a + shift : b + shift] == item[a:b])
-            if matches >= min(least, len(item)):
+            same, enough = x[a + shift : b + shift] == item[a:b], min(least, len(item))
+            if len(item) < SHORTEST or np.count_nonzero(same) < enough:
+                continue
+            matches, start, stop = best_run(same)
+            if matches < enough:
+                matches, start, stop = longest_run(same)
+            if matches >= enough:
                 yield j, n, matches, stop - start, a + shift + start, a + start
 
 
@@ -128,6 +136,19 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
     return int(same[start:stop].sum()), start, stop
 
 
+def longest_run(same: np.ndarray) -> tuple[int, int, int]:
+    """(matches, start, stop) of the run with the most matches that has PENALTY of them to a substitution at least; the first of equals."""
+    score = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
+    hits = np.concatenate(([0], np.cumsum(same)))
+    # each stop goes with the first start that has no greater score
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score)
+    matches = hits - hits[starts]
+    stop = int(np.argmax(matches))
+    start = int(starts[stop])
+    start += int(np.argmax(same[start:stop])) if stop > start else 0
+    return int(matches[stop]), start, stop
+
+
 def _best(block: Block, texts: Iterator[str | None], least: int) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, matches, length, start in the text, start in the item): the best overlap of each row and item, in order."""
     get, longest = block.vocabulary.get, max(map(len, block.items), default=0)
@@ -160,8 +181,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: int = 13) -> D
     """(doc_id, item_id, matches, length, doc_start, item_start), in tokens: a row for each document and benchmark item that overlap.
 
     An overlap is a run of aligned tokens with at least ``least`` matches (all of the item's tokens if it has fewer, 7 at least) and at
-    least four matches to a substitution. The best run of a pair is given: most matches, then first in the document, then in
-    the item. Null or empty texts and items of fewer than 7 tokens overlap nothing. A null doc_id or item_id is carried as it is;
+    least four matches to a substitution. Of an alignment the run with the greatest matches - 4 * substitutions is given or, if that
+    has too few matches, the longest overlap; of a pair the alignment with most matches, then first in the document, then in the item. Null or empty texts and items of fewer than 7 tokens overlap nothing. A null doc_id or item_id is carried as it is;
     repeated rows give repeated results; equal items each give a row; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession

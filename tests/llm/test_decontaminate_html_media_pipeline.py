@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from pathlib import Path
@@ -70,6 +71,23 @@ def test_substitutions_are_tolerated():
         assert found and found[0][2] >= 10, k
 
 
+def test_every_run_that_meets_the_rule_is_found():
+    """Against all (start, stop) pairs: 14 tokens with the second replaced, and others whose best-scoring part is too short."""
+    rng = random.Random(4)
+    cases = [(n, c) for n, s in ((14, 1), (15, 1), (16, 3)) for c in itertools.combinations(range(n), s)]
+    cases += [(n, tuple(rng.sample(range(n), s))) for n, s in ((18, 2), (20, 2), (20, 3), (20, 4), (25, 5), (30, 6)) for _ in range(150)]
+    for n, c in cases:
+        same = [k not in c for k in range(n)]
+        want = any((m := sum(same[a:b])) >= 13 and m >= 4 * (b - a - m) for a in range(n) for b in range(a + 1, n + 1))
+        item = [f"t{k}" for k in range(n)]
+        leak = ["x"] * 5 + [w if ok else "other" for w, ok in zip(item, same)] + ["y"] * 3
+        found = D._best(D.Block([(1, item)]), iter([" ".join(leak)]), 13)
+        assert bool(found) == want, (n, c)
+        for _, _, matches, length, at, item_at in found:
+            run = [a == b for a, b in zip(leak[at : at + length], item[item_at : item_at + length], strict=True)]
+            assert sum(run) == matches >= 13 and matches >= 4 * (length - matches) and run[0] and run[-1]
+
+
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, D.LONG if hasattr(D, "LONG") else "lorem ipsum dolor sit amet " * 4), (None, "lorem ipsum dolor sit amet " * 4), (2, None)], "item_id long, text string")
     got = D.contaminated(docs(spark, ODD), bench).collect()
