@@ -3,8 +3,9 @@
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one node of the site's tree. For
 every node the pages' styles (the sequence of child elements) and contents (the text below) are counted, and the node's importance
 is the larger of the two normalised entropies: a branch that looks and reads the same on all pages is part of the site's
-template, one that differs is content. Branches of low importance are cut from each page, and so are those that say themselves
-what they are (nav, footer, class="ad", ...). What an article or main element holds is content however often it is repeated.
+template, one that differs is content. All elements of a page on one path count together, and pages that read the same count once,
+so that copies of an article stay. Branches of low importance are cut from each page, and so are those that say
+themselves what they are (nav, footer, class="ad", ...). An article or main, and what holds one, is not cut for its importance.
 
 The tree is never gathered in one place: it is rows of (host, node, style, content) counts, combined before the shuffle, and
 only the nodes to cut go back to the pages.
@@ -139,16 +140,33 @@ def flat_text(node: Node) -> str:
     return _BLANK.sub(" ", " ".join(out)).strip()
 
 
-def site_nodes(page: str | None) -> Iterator[tuple[int, int, int]]:
-    """(node, style, content), as hashes, of the page's block elements outside articles: its part of the site style tree."""
+def _judged(root: Node) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(element, path) of the block elements that importance may cut, and the page's outermost articles and mains."""
+    found, holds, articles = list(walk(root)), set(), []
+    for node, _, inside in found:
+        if node.tag in ("article", "main"):
+            if not inside:
+                articles.append(node)
+            up = node
+            while up and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    return [(n, path) for n, path, inside in found if not inside and n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in holds and not n.noise], articles
+
+
+def site_nodes(page: str | None) -> Iterator[tuple[int, int, int, int]]:
+    """(node, style, content, page), as hashes, of the paths of the page's block elements: its part of the site style tree. Pages whose
+    articles, or else whole texts, are equal have the same hash."""
     digest = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-    seen = set()
-    for node, path, inside in walk(parse(page)):
-        if node.tag not in BLOCK or inside or node.tag in ("html", "body", "article", "main") or node.noise or path in seen:
-            continue
-        seen.add(path)
-        style = " ".join(c.tag for c in node.children if isinstance(c, Node))
-        yield digest(path), digest(style), digest(flat_text(node))
+    root, merged = parse(page), {}
+    judged, articles = _judged(root)
+    for node, path in judged:
+        styles, contents = merged.setdefault(path, ([], []))
+        styles.append(" ".join(c.tag for c in node.children if isinstance(c, Node)))
+        contents.append(flat_text(node))
+    same = digest("\n".join(map(flat_text, articles or [root])))
+    for path, (styles, contents) in merged.items():
+        yield digest(path), digest("\n".join(styles)), digest("\n".join(contents)), same
 
 
 def extract(page: str | None, cut: frozenset[int] = frozenset()) -> str:
@@ -160,9 +178,10 @@ def extract(page: str | None, cut: frozenset[int] = frozenset()) -> str:
     root = parse(page)
     keep: dict[int, bool] = {}
     has_article = False
-    for node, path, inside in walk(root):
+    low = {id(node) for node, path in _judged(root)[0] if digest(path) in cut} if cut else ()
+    for node, _, _ in walk(root):
         ok = keep.get(id(node.parent), True) if node.parent else True
-        if ok and (node.noise or (cut and not inside and node.tag in BLOCK and digest(path) in cut)):
+        if ok and (node.noise or id(node) in low):
             ok = False
         keep[id(node)] = ok
         has_article = has_article or (ok and node.tag in ("article", "main"))
@@ -222,10 +241,10 @@ def low_importance(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(host(u.as_py()), *n) for u, p in zip(b.column(0), b.column(1), strict=True) for n in site_nodes(p.as_py())]
-            columns = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "style", "content"])
+            columns = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["host", "node", "style", "content", "page"])
 
-    nodes = checkpoint(pages.select("url", "html").mapInArrow(run, "host string, node long, style long, content long"))
+    nodes = checkpoint(pages.select("url", "html").mapInArrow(run, "host string, node long, style long, content long, page long").dropDuplicates(["host", "node", "page"]))
 
     def entropies(of: str) -> DataFrame:
         counts = nodes.groupBy("host", "node", of).agg(F.count(F.lit(1)).alias("n"))

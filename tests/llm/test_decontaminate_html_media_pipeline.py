@@ -140,6 +140,17 @@ def test_repeated_articles_stay(spark):
     assert {(r.text, r.n_chars) for r in H.extract_pages(pages(spark, same)).collect()} == {(H.extract(PAGE), len(H.extract(PAGE)))}
 
 
+def test_all_elements_of_a_path_are_judged_together(spark):
+    rows = [(k, f"https://d.example/{k}", f"<body><div class='content'><p>By the staff</p><p>text {k}</p><p>more {k}</p></div></body>") for k in range(8)]
+    wrapped = "<body><div id='wrap'><article><p>one</p></article></div></body>"
+    rows += [(k, f"https://e.example/{k}", wrapped) for k in range(10, 18)]
+    # the same article in pages that differ elsewhere, and one wrapper around different articles
+    rows += [(k, f"https://f.example/{k}", f"<body><div class='x'>{k}</div><div id='wrap'><article><div class='body'><p>one</p></div></article></div></body>") for k in range(20, 28)]
+    got = {r.page_id: r.text for r in H.extract_pages(pages(spark, rows)).collect()}
+    assert all(got[k] == f"By the staff\ntext {k}\nmore {k}" for k in range(8))
+    assert all(got[k] == "one" for k in (*range(10, 18), *range(20, 28)))
+
+
 def test_payloads_survive():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 6, 7, 100, 6 * 256 + 1):
