@@ -4,7 +4,7 @@ The DOMs of a host's pages are merged: elements with the same path of tags, clas
 every node the pages' styles (the sequence of child elements) and contents (the text below) are counted, and the node's importance
 is the larger of the two normalised entropies: a branch that looks and reads the same on all pages is part of the site's
 template, one that differs is content. All elements of a page on one path count together, and pages that read the same count once,
-so that copies of an article stay. Branches of low importance are cut from each page, and so are those that say
+so that copies of an article stay. Branches of low importance are cut from each page, inside articles too, and so are those that say
 themselves what they are (nav, footer, class="ad", ...). An article or main, and what holds one, is not cut for its importance.
 
 The tree is never gathered in one place: it is rows of (host, node, style, content) counts, combined before the shuffle, and
@@ -151,7 +151,7 @@ def _judged(root: Node) -> tuple[list[tuple[Node, str]], list[Node]]:
             while up and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    return [(n, path) for n, path, inside in found if not inside and n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in holds and not n.noise], articles
+    return [(n, path) for n, path, _ in found if n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in holds and not n.noise], articles
 
 
 def site_nodes(page: str | None) -> Iterator[tuple[int, int, int, int]]:

@@ -151,6 +151,11 @@ def test_all_elements_of_a_path_are_judged_together(spark):
     assert all(got[k] == "one" for k in (*range(10, 18), *range(20, 28)))
 
 
+def test_template_branches_inside_articles_go(spark):
+    rows = [(k, f"https://g.example/{k}", f"<body><article><p>own {k}</p><div class='box'>Read our other pages</div></article></body>") for k in range(8)]
+    assert {r.page_id: r.text for r in H.extract_pages(pages(spark, rows)).collect()} == {k: f"own {k}" for k in range(8)}
+
+
 def test_payloads_survive():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 6, 7, 100, 6 * 256 + 1):
