@@ -2,8 +2,8 @@
 
 Hashes of the long lines (128 bits), with document and position, are range-partitioned by (hash, document, position) and sorted,
 so that equal lines are neighbours in the order of their documents and a line that a third of all documents share spans
-several partitions instead of filling one. A sorted partial aggregate streams over each partition; only one row per
-(partition, line) goes on. What a document loses comes back as a bitmap: 63 positions in each long word, words without a
+several partitions instead of filling one. The order doesn't decide: one row per (partition, line, document) goes on into aggregates
+dealt by hash, which count and name the holder, and a salted hash join finds the lines to drop. What a document loses comes back as a bitmap: 63 positions in each long word, words without a
 dropped line left out. Texts never travel with the lines.
 """
 
