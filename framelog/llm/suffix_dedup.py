@@ -1,92 +1,96 @@
 """Substring dedup over a corpus: bytes of strings that an earlier document has, too, go.
 
 Every string of ``LENGTH`` bytes that two documents share is a pair of equal suffixes (over that length). Sorting all suffixes of a corpus
-would move each of them; instead:
-
-1. Of every window of ``LENGTH`` bytes the K-grams with the least hash are its anchors, so equal windows have equal anchors at the same
-   place. Anchors (a fourteenth of all positions) travel as hashes, of the K-gram and of its context: all windows around it.
-   An anchor whose whole context an earlier document has is settled: all windows around it go. One whose K-gram no other document
-   has is settled, too. For the rest - the ends of copied passages, chance repeats of K-grams - contexts are asked for.
-2. The documents send the contexts asked for, one for each distinct context of a K-gram.
-3. The suffixes in contexts of one K-gram are put in order by hash-compared mergesort (``suffix_sort``); equal ones are verified by their
-   bytes, and each learns the least document of its class.
-4. The documents learn their settled anchors and windows, and drop the bytes covered.
-
-What goes from step to step is packed by buckets of bounded size. An anchor that very many documents share is combined before the
-shuffle (one row for each batch of documents); a K-gram with very many different contexts is dealt out by the hashes of its windows.
-Whole contexts are compared by digests of 112 bits.
+in one place isn't possible, so they are dealt out first, in a way that brings equal ones together:
+
+1. Each window of ``LENGTH`` bytes belongs to the K-gram of least rank in it (the first of equals). Neighbouring windows mostly share
+   theirs, so a text falls into strings of some 65 bytes, each a run of windows of one K-gram, and each window lies in one string.
+   A K-gram's rank is a hash, frequent K-grams after all others: they get only the windows that hold no other K-gram. So the ends of a
+   passage that very many documents share, each with a text of its own before it, go by the K-grams of those texts.
+2. Strings travel, compressed, to the bucket of their K-gram. Equal strings of a batch of documents travel once; those of
+   frequent K-grams meet in shares first, so that no bucket gets a copy from every batch.
+3. In a bucket the suffixes at the strings' starts are put in order by hash-compared mergesort (``suffix_sort``) and verified by their bytes:
+   equal strings are one from then on. Then all windows of the strings left of one K-gram are sorted and verified the same way. Each
+   class learns its least document, and windows of later ones go.
+4. The documents learn their ranges and drop the bytes covered.
+
+No verdict rests on a hash alone, and nothing depends on the size of the corpus but the number of buckets.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelog.llm.common import checkpoint
 from framelog.llm.suffix_sort import BASE, INVERSE, VALUES, Suffixes, mixed, powers, prefix_hashes
 
-#: Bytes of a repeated string, of an anchor, and on either side of an anchor in its context.
-LENGTH, K = 50, 24
-SIDE = LENGTH - K
-WINDOWS, WIDE = SIDE + 1, K + 2 * SIDE
-#: Bytes hashed at a time, and bytes of documents whose anchors are held at a time (more for a longer document).
-PIECE, SLICE = 1 << 20, 6 << 20
-#: Mean content of a bucket: anchors, bytes of documents, contexts.
-ANCHORS, TEXT, CONTEXTS = 400_000, 6 << 20, 40_000
-#: What a context asked for takes, compressed, at least: K-gram and place hardly shrink.
-ASK_BYTES = 10
-#: K-grams with more contexts than this are dealt out window by window.
-HOT = 4_000
-#: Kinds of records: a settled anchor, an anchor like another one of its document, a context asked for, windows of an anchor.
-FULL, ALIAS, ASK, MASK = range(4)
+#: Bytes of a repeated string and of a K-gram; K-grams of a window; bytes of a string at most.
+LENGTH, K = 50, 16
+WINDOWS = LENGTH - K + 1
+WIDE = LENGTH + WINDOWS - 1
+#: Windows hashed at a time, and bytes of documents whose strings are held at a time.
+PIECE, SLICE = 1 << 21, 6 << 20
+#: Mean content of a bucket, in bytes: strings; documents.
+STRINGS, TEXT = 8 << 20, 6 << 20
+#: Bytes of strings for a byte of text.
+GROWTH = 4
+#: Buckets for each shuffle partition at least, so that no task goes without.
+PER_TASK = 3
+#: Slots in which K-grams are counted, and from which count (and how many times the mean) on they are frequent.
+SLOT_BITS, FREQUENT, TIMES_MEAN = 22, 8, 4
+#: Shares in which equal strings of frequent K-grams meet first.
+SHARES = 16
+#: Ids of documents with several texts that are sent to all tasks at most.
+BROADCAST_IDS = 100_000
+#: Kinds of records: strings, ranges of a string that go, strings like another one of their document.
+STRING, RANGE, ALIAS = range(3)
 _U = np.uint64
+_BUCKETS = _U(0x9E6C63D0876A3F6B)
 
 
 # ---- packing -------------------------------------------------------------------------------------------------------------
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of integers, byte by byte, so that those that hardly differ compress well in a shuffle."""
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+def pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of integers, byte by byte, so that those that hardly differ compress well."""
+    body = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(4, "little") + b"".join(body) + tail)
 
 
-def unpack(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for o, k in zip(out, kinds, strict=True):
-            size = np.dtype(k).itemsize
-            o.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
-            at += n * size
-    return [np.concatenate(o) if o else np.zeros(0, k) for o, k in zip(out, kinds, strict=True)]
+def unpack(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns and the tail of a packed blob."""
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int.from_bytes(data[:4], "little"), 4, []
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out, np.frombuffer(data, np.uint8, offset=at)
 
 
-def split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns of each key."""
+def split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each key, in order."""
     if len(key):
         order = np.argsort(key, kind="stable")
         key = key[order]
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for k, *parts in zip(key[np.concatenate(([0], cuts))].tolist(), *(np.split(c[order], cuts) for c in columns), strict=True):
-            yield k, parts
+        yield from zip(key[np.concatenate(([0], cuts))].tolist(), np.split(order, cuts), strict=True)
 
 
-def records(doc: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Columns of a document bucket in order of the document, its ids as steps, compressed."""
-    order = np.argsort(doc, kind="stable")
-    return zlib.compress(pack(np.diff(doc[order], prepend=0), *(c[order] for c in columns)), 1)
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    key, kind, blob = zip(*rows) if rows else ((),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["key", "kind", "blob"])
 
 
-def read_records(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
-    parts = [unpack([zlib.decompress(b)], "i8", *kinds) for b in blobs]
-    doc = [np.cumsum(p[0]) for p in parts]
-    return [np.concatenate(x) for x in (doc, *zip(*(p[1:] for p in parts), strict=True))] if parts else [np.zeros(0, k) for k in ("i8", *kinds)]
+def bucket_of(gram: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of a K-gram, by another hash than the one that ranks it: least hashes crowd at zero."""
+    return (mixed(gram ^ _BUCKETS) % _U(n)).astype(np.int64)
 
 
 def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
@@ -100,52 +104,76 @@ def doc_bucket_column(doc: Column, n: int) -> Column:
     return F.pmod(h.bitwiseAND(F.lit((1 << 62) - 1)), F.lit(n))
 
 
-# ---- step 1: anchors -----------------------------------------------------------------------------------------------------
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in data, hash of the K-gram, hash of the context) of every anchor of the texts data[offsets[i]:offsets[i + 1]].
-
-    Contexts end where their text ends; such ends are part of the hash.
-    """
-    places, grams, contexts = [], [], []
-    n = len(data)
-    for a in range(0, max(0, n - LENGTH + 1), PIECE):
-        b = min(a + PIECE, n - LENGTH + 1)  # windows that start in [a, b)
-        lo, hi = max(0, a - SIDE), min(n, b + LENGTH + SIDE)
-        part = data[lo:hi]
-        prefix, undo = prefix_hashes(part), powers(INVERSE, hi - lo + 1)
-        # K-grams that start in [a, b + SIDE)
-        x = np.arange(a - lo, b + SIDE - lo)
-        gram = np.maximum(mixed((prefix[x + K] - prefix[x]) * undo[x]), _U(1))
-        least, span = gram, 1
-        while span < WINDOWS:
-            step = min(span, WINDOWS - span)
-            least, span = np.minimum(least[: len(least) - step], least[step:]), span + step
-        # a window counts if it lies in one text
-        doc = np.searchsorted(offsets, np.arange(a, b, 1), "right") if len(offsets) > 2 else None
-        whole = np.arange(a, b) + LENGTH <= (offsets[doc] if doc is not None else offsets[-1])
-        most = np.zeros(len(gram), _U)
-        most[: b - a] = np.where(whole, least, _U(0))
-        span = 1  # the greatest of the minima of the windows around a K-gram is its own hash if it is the least of one of them
-        while span < WINDOWS:
-            step = min(span, WINDOWS - span)
-            most[step:] = np.maximum(most[step:], most[:-step])
-            span += step
-        at = np.flatnonzero(most == gram)
-        p = at + a
-        if len(p):
-            d = np.searchsorted(offsets, p, "right")
-            start, stop = np.maximum(p - SIDE, offsets[d - 1]), np.minimum(p + K + SIDE, offsets[d])
-            context = (prefix[stop - lo] - prefix[start - lo]) * undo[start - lo]
-            ends = ((p - start) * (WIDE + 1) + (stop - p)).astype(_U)
-            places.append(p)
-            grams.append(gram[at])
-            contexts.append(mixed(mixed(context) + ends * _U(BASE)) >> _U(16))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(grams)[first], np.concatenate(contexts)[first]
+# ---- step 1: strings -----------------------------------------------------------------------------------------------------
+
+
+class Strings:
+    """Strings of documents: document, version, place, place of the K-gram in the string, length, and the bytes, a row each."""
+
+    def __init__(self, doc: np.ndarray, ver: np.ndarray, pos: np.ndarray, off: np.ndarray, size: np.ndarray, rows: np.ndarray):
+        self.doc, self.ver, self.pos, self.off, self.size, self.rows = doc, ver, pos, off, size, rows
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def take(self, at: np.ndarray) -> Strings:
+        return Strings(self.doc[at], self.ver[at], self.pos[at], self.off[at], self.size[at], self.rows[at])
+
+    @staticmethod
+    def join(parts: list[Strings]) -> Strings:
+        columns = zip(*((p.doc, p.ver, p.pos, p.off, p.size, p.rows) for p in parts))
+        return Strings(*(np.concatenate(c) for c in columns))
+
+    def packed(self) -> bytes:
+        text = self.rows[np.arange(WIDE) < self.size[:, None]].tobytes()
+        return pack(np.diff(self.doc, prepend=0), self.ver, self.pos, self.off, self.size, tail=text)
+
+    @staticmethod
+    def unpacked(blob: bytes) -> Strings:
+        (step, ver, pos, off, size), text = unpack(blob, "i8", "i8", "u4", "u1", "u1")
+        rows = np.zeros((len(step), WIDE), np.uint8)
+        rows[np.arange(WIDE) < size[:, None]] = text
+        return Strings(np.cumsum(step), ver, pos, off, size, rows)
+
+    def grams(self) -> np.ndarray:
+        """Hash of each string's K-gram, as ``gram_hashes`` has it."""
+        weights, out = powers(BASE, K), np.zeros(len(self), _U)
+        flat, at = self.rows.ravel(), np.arange(len(self)) * WIDE + self.off
+        for i in range(K):
+            out += VALUES[flat[at + i]] * weights[i]
+        return mixed(out)
+
+
+def gram_hashes(data: np.ndarray, prefix: np.ndarray, undo: np.ndarray) -> np.ndarray:
+    n = len(data) - K + 1
+    return mixed((prefix[K : K + n] - prefix[:n]) * undo[:n])
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, a: int, b: int, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(start, stop, place of the K-gram, its hash, digest) of the strings whose windows start in [a, b) of the texts
+    data[offsets[i]:offsets[i + 1]]."""
+    part = data[a : b + LENGTH - 1]
+    prefix, undo = prefix_hashes(part), powers(INVERSE, len(part) + 1)
+    gram = gram_hashes(part, prefix, undo)
+    least = gram >> _U(1)
+    if frequent is not None:
+        least |= frequent[(gram >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(_U) << _U(63)
+    at, span = np.arange(len(gram), dtype=np.int32), 1
+    while span < WINDOWS:  # the first of the least among ever more K-grams
+        step = min(span, WINDOWS - span)
+        later = least[step:] < least[: len(least) - step]
+        at, least, span = np.where(later, at[step:], at[:-step]), np.minimum(least[step:], least[:-step]), span + step
+    window = np.arange(b - a)
+    end = offsets[np.searchsorted(offsets, window + a, "right")] if len(offsets) > 2 else offsets[-1]
+    whole = window + a + LENGTH <= end
+    new = np.concatenate(([True], (at[1:] != at[:-1]) | (whole[1:] != whole[:-1])))
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(at)) - 1 + LENGTH
+    keep = whole[start]
+    start, stop = start[keep], stop[keep]
+    place = at[start].astype(np.int64)
+    digest = mixed((prefix[stop] - prefix[start]) * undo[start]) + mixed((place - start).astype(_U) * _U(256) + (stop - start).astype(_U))
+    return start + a, stop + a, place + a, gram[place], digest
 
 
 def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,295 +193,292 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _six(h: np.ndarray) -> np.ndarray:
-    return h.view(np.uint8).reshape(-1, 8)[:, :6]
-
+def _records(kind: int, n_docs: int, negative: bool, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Records by bucket of the document. In the first shuffle they have negative keys, beside those of the strings."""
+    out = []
+    for k, i in split(doc_bucket(doc, n_docs)):
+        i = i[np.argsort(doc[i], kind="stable")]
+        out.append((-1 - k if negative else k, kind, pack(np.diff(doc[i], prepend=0), *(c[i] for c in columns))))
+    return out
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in parts of some SLICE bytes."""
-    batch = batch.set_column(1, "data", batch.column(1).cast(pa.binary()))  # a session may send large types
-    texts = batch.column(1)
-    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
-        yield batch.slice(at, stop - at)
-        at = stop
 
+def merge(s: Strings, digest: np.ndarray, n_docs: int, negative: bool) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """The places of the strings that stay of equal ones - the least document's first - and what becomes of the others.
 
-def _map_anchors(batches: Iterator[pa.RecordBatch], n_buckets: int, n_docs: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of documents by bucket of their K-gram; what a batch can settle alone goes by bucket of the document (negative keys)."""
-    for batch in (part for b in batches for part in _slices(b)):
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        raw = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    Strings whose digest occurs once can't be equal to another and are left out of the sort.
+    """
+    order, twice = _repeated(digest)
+    at = order[twice]
+    if not len(at):
+        return np.arange(len(s)), []
+    rows = s.rows[at]
+    segment = np.cumsum(_firsts(digest[at]))
+    found = Suffixes(rows, prefix_hashes(rows), np.arange(len(at)), np.zeros(len(at), np.int64), WIDE).classes(segment)
+    order_ = np.lexsort((s.pos[at], s.ver[at], s.doc[at], s.size[at], s.off[at], found))
+    at, found = at[order_], found[order_]
+    first = _firsts(found, s.off[at], s.size[at])  # equal bytes with the K-gram at another place are another string
+    leader = at[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    later = s.doc[at] > s.doc[leader]
+    like = ~later & ~first
+    gone, twin, own = at[later], at[like], leader[like]
+    zero = np.zeros(len(gone), np.uint8)
+    rows_out = _records(RANGE, n_docs, negative, s.doc[gone], s.ver[gone], s.pos[gone], zero, s.size[gone])
+    rows_out += _records(ALIAS, n_docs, negative, s.doc[twin], s.ver[twin], s.pos[twin], s.ver[own], s.pos[own])
+    return np.sort(np.concatenate((order[~twice], at[first]))), rows_out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, versions, data, offsets) of rows (doc_id, ver, data) of some SLICE bytes."""
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())  # a session may send large types
+        ids, versions = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
         whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        place, gram, context = anchors(whole[raw[0] : raw[-1]], raw - raw[0])
-        row = np.searchsorted(raw - raw[0], place, "right") - 1
-        doc, pos = ids[row].astype(np.int64), (place - (raw - raw[0])[row]).astype(np.uint32)
-        order, twice = _repeated(gram)
-        again = order[twice]
-        again = again[np.lexsort((pos[again], doc[again], context[again], gram[again]))]
-        first = _firsts(gram[again], context[again])
-        leader = again[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(again) else again
-        later, like = doc[again] > doc[leader], (doc[again] == doc[leader]) & ~first
-        rows: list[tuple[int, int, bytes]] = []
-        for k, (d, p) in split(doc_bucket(doc[again[later]], n_docs), doc[again[later]], pos[again[later]]):
-            rows.append((-1 - k, FULL, records(d, p)))
-        for k, (d, p, q) in split(doc_bucket(doc[again[like]], n_docs), doc[again[like]], pos[again[like]], pos[leader[like]]):
-            rows.append((-1 - k, ALIAS, records(d, p, q)))
-        keep = np.concatenate((order[~twice], again[first]))
-        keep = keep[np.argsort(gram[keep])]
-        bucket = (gram[keep] >> _U(33)).astype(np.int64) * n_buckets >> 31
-        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-        for part in np.split(keep, cuts) if len(keep) else []:
-            k = (int(gram[part[0]]) >> 33) * n_buckets >> 31
-            steps = np.diff(gram[part], prepend=_U(0))
-            rows.append((k, ASK, pack(steps, _six(context[part]), doc[part], pos[part])))
-        yield _batch(rows)
-
-
-def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    key, kind, blob = zip(*rows) if rows else ((),) * 3
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["key", "kind", "blob"])
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            yield ids[at:stop], versions[at:stop], whole[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at]
+            at = stop
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bytes, slots) of a task: the bytes of its texts and the slots of the K-grams that are frequent in them."""
+    counts, total = np.zeros(1 << SLOT_BITS, np.int64), 0
+    for _, _, data, _ in _slices(batches):
+        total += len(data)
+        for a in range(0, max(0, len(data) - K + 1), PIECE):
+            part = data[a : a + PIECE + K - 1]
+            gram = gram_hashes(part, prefix_hashes(part), powers(INVERSE, len(part) + 1))
+            counts += np.bincount((gram >> _U(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
+    slots = np.flatnonzero(counts >= max(FREQUENT, TIMES_MEAN * total / len(counts)))
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([slots.astype(np.int32)], pa.list_(pa.int32()))], names=["n_bytes", "slots"])
+
+
+def _map_strings(batches: Iterator[pa.RecordBatch], n_buckets: int, n_docs: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Strings of documents by bucket of their K-gram, equal ones once; what becomes of the others by bucket of the document (negative
+    keys). Strings of frequent K-grams go to shares of their bucket (keys from n_buckets on)."""
+    for ids, versions, data, offsets in _slices(batches):
+        share = int(mixed(ids[:1].view(_U))[0]) % SHARES if len(ids) else 0
+        n = len(data) - LENGTH + 1
+        padded = np.concatenate((data, np.zeros(WIDE, np.uint8)))
+        for flush in range(0, max(0, n), SLICE):  # one, but for a text that is longer
+            parts = [cut(data, offsets, a, min(a + PIECE, flush + SLICE, n), frequent) for a in range(flush, min(flush + SLICE, n), PIECE)]
+            start, stop, place, gram, digest = map(np.concatenate, zip(*parts, strict=True))
+            row = np.searchsorted(offsets, start, "right") - 1
+            bytes_ = padded[start[:, None] + np.arange(WIDE)]
+            bytes_[np.arange(WIDE) >= (stop - start)[:, None]] = 0
+            s = Strings(ids[row], versions[row], (start - offsets[row]).astype(np.uint32), (place - start).astype(np.uint8), (stop - start).astype(np.uint8), bytes_)
+            keep, out = merge(s, digest, n_docs, True)
+            gram = gram[keep]
+            key = bucket_of(gram, n_buckets)
+            if frequent is not None:
+                key = np.where(frequent[(gram >> _U(64 - SLOT_BITS)).astype(np.int64)], n_buckets + key * SHARES + share, key)
+            out += [(k, STRING, s.take(keep[i]).packed()) for k, i in split(key)]
+            yield _batch(out)
+
+
+# ---- steps 2 and 3: suffixes in buckets ------------------------------------------------------------------------------------
+
+
+def _content(table: pa.Table) -> Strings:
+    return Strings.join([Strings.unpacked(b) for b in table.column("blob").to_pylist()])
+
+
+def _digest(s: Strings, gram: np.ndarray) -> np.ndarray:
+    """Digest of a string, its length and the place of its K-gram."""
+    weights, out = powers(BASE, WIDE), np.zeros(len(s), _U)
+    for i in range(WIDE):
+        out += VALUES[s.rows[:, i]] * weights[i]
+    return mixed(out) + mixed(gram + s.off.astype(_U) * _U(256) + s.size)
+
+
+def _first(table: pa.Table, n_buckets: int, n_docs: int) -> pa.Table:
+    """A bucket of strings is settled. Of a share of one, with strings of frequent K-grams, equal strings become one and go on. What batches
+    have settled passes."""
+    key = table.column("key")[0].as_py()
+    if key < 0:
+        return table.set_column(0, "key", pa.array(np.full(table.num_rows, -1 - key)))
+    if key < n_buckets:
+        return _settle(table, n_docs)
+    s = _content(table)
+    keep, out = merge(s, _digest(s, s.grams()), n_docs, False)
+    s = s.take(keep[np.argsort(s.doc[keep], kind="stable")])
+    return pa.Table.from_batches([_batch([*out, ((key - n_buckets) // SHARES, STRING, s.packed())])])
 
 
 def _settle(table: pa.Table, n_docs: int) -> pa.Table:
-    """A bucket of K-grams: anchors that are settled, and contexts to ask for."""
-    key, kinds, blobs = table.column("key")[0].as_py(), table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    if key < 0:
-        return pa.Table.from_batches([_batch([(-1 - key, k, b) for k, b in zip(kinds, blobs, strict=True)])])
-    grams, contexts, docs, poss = [], [], [], []
-    for blob in blobs:
-        steps, *six, doc, pos = unpack([blob], "u8", *["u1"] * 6, "i8", "u4")
-        grams.append(np.cumsum(steps, dtype=_U))
-        contexts.append(sum(s.astype(_U) << _U(8 * i) for i, s in enumerate(six)))
-        docs.append(doc)
-        poss.append(pos)
-    gram, context, doc, pos = map(np.concatenate, (grams, contexts, docs, poss))
+    """A bucket of strings: the ranges of them that an earlier document has, and strings like another one of their document."""
+    s = _content(table)
+    gram = s.grams()
+    order, twice = _repeated(gram)
+    at = np.sort(order[twice])  # a string without another one of its K-gram shares no window
+    s, gram = s.take(at), gram[at]
+    keep, out = merge(s, _digest(s, gram), n_docs, False)
+    s, gram = s.take(keep), gram[keep]
     order, twice = _repeated(gram)
     at = order[twice]
-    at = at[np.lexsort((pos[at], doc[at], context[at], gram[at]))]
-    gram, context, doc, pos = gram[at], context[at], doc[at], pos[at]
-    new_gram = _firsts(gram)
-    first = new_gram | _firsts(context)
-    leader = np.flatnonzero(first)[np.cumsum(first) - 1] if len(gram) else np.zeros(0, np.int64)
-    rows = []
-    later, like = doc > doc[leader], (doc == doc[leader]) & ~first
-    for k, (d, p) in split(doc_bucket(doc[later], n_docs), doc[later], pos[later]):
-        rows.append((k, FULL, records(d, p)))
-    for k, (d, p, q) in split(doc_bucket(doc[like], n_docs), doc[like], pos[like], pos[leader[like]]):
-        rows.append((k, ALIAS, records(d, p, q)))
-    # of each context one is asked for, if its K-gram has another one in another document
-    gram, doc, pos, new = gram[first], doc[first], pos[first], new_gram[first]
-    starts = np.flatnonzero(new)
-    if len(starts):
-        count = np.diff(np.append(starts, len(gram)))
-        wanted = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), count)
-        hot = np.repeat(count > HOT, count)
-        for k, (g, d, p, h) in split(doc_bucket(doc[wanted], n_docs), gram[wanted], doc[wanted], pos[wanted], hot[wanted].astype(np.uint8)):
-            rows.append((k, ASK, records(d, p, g, h)))
-    return pa.Table.from_batches([_batch(rows)])
-
-
-# ---- steps 2 and 3: contexts and their suffixes ----------------------------------------------------------------------------
-
-
-def _texts(table: pa.Table) -> dict[int | None, list[bytes]]:
-    out: dict[int | None, list[bytes]] = {}
-    for d, t in zip(table.column("doc_id"), table.column("data"), strict=True):
-        out.setdefault(d.as_py(), []).append(t.as_py())
-    return out
-
-
-def _contexts(left: pa.Table, right: pa.Table, n_buckets: int) -> pa.Table:
-    """The contexts that are asked for, by bucket of their K-gram; windows of hot K-grams by bucket of their own hash."""
-    doc, pos, gram, hot = read_records(right.column("blob").to_pylist() if right.num_rows else [], "u4", "u8", "u1")
-    if not len(doc):
-        return pa.Table.from_batches([_batch([])])
-    order = np.argsort(doc, kind="stable")
-    gram, doc, pos, hot = gram[order], doc[order], pos[order], hot[order]
-    texts = _texts(left)
-    parts = []
-    for d, (g, p, h) in split(doc, gram, pos, hot):
-        for text in dict.fromkeys(texts.get(d, [])):
-            data = np.frombuffer(b"\0" * SIDE + text + b"\0" * WIDE, np.uint8)
-            inside = p + K <= len(text)
-            g_, p_, h_ = g[inside], p[inside].astype(np.int64), h[inside]
-            rows = data[p_[:, None] + np.arange(WIDE)]
-            parts.append((g_, np.full(len(p_), d, np.int64), p_.astype(np.uint32), h_, np.maximum(SIDE - p_, 0).astype(np.uint8), np.minimum(len(text) - p_ + SIDE, WIDE).astype(np.uint8), rows))
-    if not parts:
-        return pa.Table.from_batches([_batch([])])
-    gram, doc, pos, hot, start, stop, rows = map(np.concatenate, zip(*parts, strict=True))
-    out = []
-    cold = np.flatnonzero(hot == 0)
-    for k, (i,) in split((gram[cold] % _U(n_buckets)).astype(np.int64), cold):
-        blob = pack(gram[i], doc[i], pos[i], start[i], stop[i], np.ascontiguousarray(rows[i]))
-        out.append((k, ASK, zlib.compress(blob, 1)))
-    warm = np.flatnonzero(hot == 1)
-    if len(warm):
-        digest, check, row, _ = _windows(rows[warm], gram[warm], start[warm], stop[warm])
-        # of equal windows here only the first document's needs to be sent; the others are settled
-        i = warm[row]
-        order = np.lexsort((pos[i], doc[i], check, digest))
-        first = _firsts(digest[order], check[order])
-        leader = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        column = _
-        settled = doc[i[order]] > doc[i[leader]]
-        mine = order[settled]
-        out += [(-1, MASK, records(doc[i[mine]], pos[i[mine]], _U(1) << column[mine].astype(_U)))] if len(mine) else []
-        send = order[~settled]
-        for k, (d, c, a, p, w) in split((digest[send] % _U(n_buckets)).astype(np.int64), digest[send], check[send], doc[i[send]], pos[i[send]], column[send].astype(np.uint8)):
-            out.append((n_buckets + k, MASK, pack(d, c, a, p, w)))
+    if len(at):
+        doc = s.doc[at]
+        starts = np.flatnonzero(_firsts(gram[at]))
+        several = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+        at = at[np.repeat(several, np.diff(np.append(starts, len(at))))]
+    if len(at):
+        s = s.take(at)
+        row, low, high = shared_windows(s, gram[at])
+        out += _records(RANGE, n_docs, False, s.doc[row], s.ver[row], s.pos[row], low.astype(np.uint8), high.astype(np.uint8))
     return pa.Table.from_batches([_batch(out)])
 
 
-def _windows(rows: np.ndarray, gram: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(digest, second digest, row, column) of every window of contexts; both digests are of K-gram, column and bytes."""
-    prefix, undo = prefix_hashes(rows), powers(INVERSE, WIDE + 1)
-    column = np.arange(WINDOWS)
-    h = (prefix[:, LENGTH : LENGTH + WINDOWS] - prefix[:, :WINDOWS]) * undo[:WINDOWS]
-    tagged = mixed(mixed(h) + (gram[:, None] ^ mixed(column.astype(_U) + _U(1))))
-    row, col = np.nonzero((start[:, None] <= column) & (column + LENGTH <= stop[:, None]))
-    second = np.zeros(h.shape, np.uint32)
-    weights = powers(int(VALUES[7]) | 1, LENGTH)
-    for c in range(WINDOWS):  # another polynomial, so that the two don't collide together
-        second[:, c] = (((rows[:, c : c + LENGTH].astype(_U) + _U(1)) * weights).sum(axis=1, dtype=_U) >> _U(24)).astype(np.uint32)
-    return tagged[row, col], second[row, col], row, col
-
-
-def _compare(table: pa.Table, n_buckets: int, n_docs: int) -> pa.Table:
-    """A bucket of contexts: the windows that an earlier document has, as bits for each anchor."""
-    key, blobs = table.column("key")[0].as_py(), table.column("blob").to_pylist()
-    if key < 0:
-        doc, pos, mask = read_records(blobs, "u4", "u8")
-    elif key >= n_buckets:
-        digest, check, doc, pos, column = unpack(blobs, "u8", "u4", "i8", "u4", "u1")
-        order = np.lexsort((doc, check, digest))
-        first = _firsts(digest[order], check[order])
-        least = doc[order[np.flatnonzero(first)[np.cumsum(first) - 1]]]
-        gone = order[doc[order] > least]
-        doc, pos, mask = doc[gone], pos[gone], _U(1) << column[gone].astype(_U)
-    else:
-        gram, doc, pos, start, stop, *bytes_ = unpack([zlib.decompress(b) for b in blobs], "u8", "i8", "u4", "u1", "u1", *["u1"] * WIDE)
-        doc, pos, mask = shared_windows(np.stack(bytes_, axis=1), gram, doc, pos, start, stop)
-    rows = [(k, MASK, records(*parts)) for k, parts in split(doc_bucket(doc, n_docs), doc, pos, mask)]
-    return pa.Table.from_batches([_batch(rows)])
-
-
-def shared_windows(rows: np.ndarray, gram: np.ndarray, doc: np.ndarray, pos: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, anchor, bits) of the windows in contexts that also lie in a smaller document's context of the same K-gram.
-
-    Suffixes whose hash over LENGTH bytes occurs once can't be equal to another and are left out of the sort.
+def shared_windows(s: Strings, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, stop) of the ranges of strings that lie in a smaller document's string of the same K-gram.
+
+    Windows whose hash occurs once can't be equal to another and are left out of the sort. Windows of one string overlap, so what
+    goes of it is one range.
     """
-    prefix, undo = prefix_hashes(rows), powers(INVERSE, WIDE + 1)
+    prefix, undo = prefix_hashes(s.rows), powers(INVERSE, WIDE + 1)
     column = np.arange(WINDOWS)
-    h = mixed((prefix[:, LENGTH : LENGTH + WINDOWS] - prefix[:, :WINDOWS]) * undo[:WINDOWS]) + (gram[:, None] ^ mixed(column.astype(_U) + _U(1)))
-    row, col = np.nonzero((start[:, None] <= column) & (column + LENGTH <= stop[:, None]))
+    # a window is at the same distance from the K-gram wherever it occurs
+    group = mixed(gram[:, None] + mixed((column - s.off[:, None].astype(np.int64) + WIDE).astype(_U)))
+    h = mixed((prefix[:, LENGTH : LENGTH + WINDOWS] - prefix[:, :WINDOWS]) * undo[:WINDOWS]) + group
+    row, col = np.nonzero(column + LENGTH <= s.size[:, None])
     order, twice = _repeated(h[row, col])
     row, col = row[order[twice]], col[order[twice]]
-    order = np.lexsort((col, gram[row]))
+    order = np.argsort(group[row, col], kind="stable")
     row, col = row[order], col[order]
-    segment = np.cumsum(_firsts(gram[row], col))
-    found = Suffixes(rows, prefix, row, col, LENGTH).classes(segment)
-    order = np.lexsort((doc[row], found))
+    segment = np.cumsum(_firsts(group[row, col]))
+    found = Suffixes(s.rows, prefix, row, col, LENGTH).classes(segment)
+    order = np.lexsort((s.doc[row], found))
     first = _firsts(found[order])
-    least = doc[row[order[np.flatnonzero(first)[np.cumsum(first) - 1]]]] if len(order) else doc[:0]
-    gone = order[doc[row[order]] > least]
-    r, inverse = np.unique(row[gone], return_inverse=True)
-    mask = np.zeros(len(r), _U)
-    np.bitwise_or.at(mask, inverse, _U(1) << col[gone].astype(_U))
-    return doc[r], pos[r], mask
+    least = s.doc[row[order[np.flatnonzero(first)[np.cumsum(first) - 1]]]] if len(order) else s.doc[:0]
+    gone = order[s.doc[row[order]] > least]
+    row, col = row[gone], col[gone]
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
+    starts = np.flatnonzero(_firsts(row))
+    stops = np.append(starts[1:], len(row)) - 1 if len(starts) else starts
+    return row[starts], col[starts], col[stops] + LENGTH
 
 
 # ---- step 4: what stays --------------------------------------------------------------------------------------------------
 
 
-def covered(n: int, full: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which of n bytes go, given settled anchors and bits of windows of other anchors."""
+def covered(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in one of the ranges."""
     edge = np.zeros(n + 1, np.int64)
-    full = full[full + K <= n].astype(np.int64)
-    start, stop = np.maximum(full - SIDE, 0), np.minimum(full + K + SIDE, n)
-    ok = stop - start >= LENGTH
-    starts, stops = [start[ok]], [stop[ok]]
-    for c in range(WINDOWS):
-        s = pos[(mask >> _U(c)) & _U(1) == 1].astype(np.int64) - SIDE + c
-        s = s[(s >= 0) & (s + LENGTH <= n)]
-        starts.append(s)
-        stops.append(s + LENGTH)
-    np.add.at(edge, np.concatenate(starts), 1)
-    np.subtract.at(edge, np.concatenate(stops), 1)
+    np.add.at(edge, start, 1)
+    np.subtract.at(edge, stop, 1)
     return np.cumsum(edge[:n]) > 0
 
 
+def _of_kind(table: pa.Table, kind: int, *kinds: str) -> list[np.ndarray]:
+    parts = [unpack(b.as_py(), "i8", *kinds)[0] for k, b in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True) if k == kind] if table.num_rows else []
+    doc = [np.cumsum(p[0]) for p in parts]
+    return [np.concatenate(x) for x in (doc, *zip(*(p[1:] for p in parts), strict=True))] if parts else [np.zeros(0, k) for k in ("i8", *kinds)]
+
+
+def _places(*pairs: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs of (version, position) as one number each, and the versions in order of their share of it."""
+    versions = np.unique(np.concatenate([v for v, _ in pairs]))
+    return [(np.searchsorted(versions, v) << 32) + p.astype(np.int64) for v, p in pairs], versions
+
+
+def ranges(place: np.ndarray, low: np.ndarray, high: np.ndarray, twin: np.ndarray, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, stop) of all ranges of a document: those of its strings, and of strings like them."""
+    if len(twin) and len(place):
+        order = np.argsort(twin)
+        twin, leader = twin[order], leader[order]
+        while True:  # the leader of a batch may be like another one
+            at = np.minimum(np.searchsorted(twin, leader), len(twin) - 1)
+            chained = twin[at] == leader
+            if not chained.any():
+                break
+            leader = np.where(chained, leader[at], leader)
+        order = np.argsort(place, kind="stable")
+        lo, hi = np.searchsorted(place[order], leader, "left"), np.searchsorted(place[order], leader, "right")
+        n = hi - lo
+        take = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        place, low, high = np.concatenate((place, np.repeat(twin, n))), np.concatenate((low, low[take])), np.concatenate((high, high[take]))
+    return place, low.astype(np.int64), high.astype(np.int64)
+
+
 def _apply(left: pa.Table, right: pa.Table) -> pa.Table:
-    kinds = right.column("kind").to_numpy() if right.num_rows else np.zeros(0)
-    blobs = right.column("blob").to_pylist() if right.num_rows else []
-    of = lambda kind, *dtypes: read_records([b for k, b in zip(kinds, blobs, strict=True) if k == kind], *dtypes)
-    full, alias, masks = of(FULL, "u4"), of(ALIAS, "u4", "u4"), of(MASK, "u4", "u8")
-    by = [dict(split(x[0], *x[1:])) for x in (full, alias, masks)]
-    none = (np.zeros(0, np.uint32), np.zeros(0, np.uint32)), (np.zeros(0, np.uint32), np.zeros(0, _U))
+    """Documents of a bucket without the bytes that go."""
+    gone, alias = _of_kind(right, RANGE, "i8", "u4", "u1", "u1"), _of_kind(right, ALIAS, "i8", "u4", "i8", "u4")
+    places = {k: i for k, i in split(gone[0])}
+    twins = {k: i for k, i in split(alias[0])}
+    none = np.zeros(0, np.int64)
+    known: dict[int, tuple] = {}
     out: list[tuple] = []
     kept: list[bytes] = []
-    for d, t in zip(left.column("doc_id"), left.column("data"), strict=True):
-        d, text = d.as_py(), t.as_py()
-        (settled,) = by[0].get(d, (none[0][0],))
-        like, leader = by[1].get(d, none[0])
-        pos, mask = by[2].get(d, none[1])
-        # what holds for an anchor holds for those like it
-        while len(like):
-            grown = np.unique(np.concatenate((settled, like[np.isin(leader, settled)])))
-            more = len(grown) > len(np.unique(settled))
-            settled = grown
-            if not more:
-                break
-        if len(like) and len(pos):
-            order = np.argsort(pos, kind="stable")
-            lo, hi = np.searchsorted(pos[order], leader, "left"), np.searchsorted(pos[order], leader, "right")
-            n = hi - lo
-            take = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            pos, mask = np.concatenate((pos, np.repeat(like, n))), np.concatenate((mask, mask[take]))
-        if len(settled) or len(pos):
-            gone = covered(len(text), settled, pos, mask)
-            spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-            rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        else:
-            spans, rest = 0, text
+    for d, v, t in zip(left.column("doc_id").to_pylist(), left.column("ver").to_pylist(), left.column("data"), strict=True):
+        text = t.as_py()
+        rest, spans = text, 0
+        if d in places:
+            if d not in known:
+                i, j = places[d], twins.get(d, none)
+                (place, twin, leader), versions = _places((gone[1][i], gone[2][i]), (alias[1][j], alias[2][j]), (alias[3][j], alias[4][j]))
+                known[d] = *ranges(place, gone[3][i], gone[4][i], twin, leader), versions
+            place, low, high, versions = known[d]
+            mine = place >> 32 == np.searchsorted(versions, v) if v in versions else place < 0
+            at = place[mine] & 0xFFFFFFFF
+            lost = covered(len(text), at + low[mine], at + high[mine])
+            spans = int(lost[:1].sum()) + int((lost[1:] & ~lost[:-1]).sum())
+            rest = np.frombuffer(text, np.uint8)[~lost].tobytes()
         out.append((d, len(text), len(text) - len(rest), spans))
         kept.append(rest)
     columns = zip(*out) if out else ((),) * 4
     return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _versioned(rows: DataFrame) -> DataFrame:
+    """A column ``ver`` that tells apart the different texts of one doc_id: 0 where there is but one."""
+    h = F.xxhash64("data")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id")
+    several = checkpoint(several)
+    n = several.count()
+    if not n:
+        return rows.withColumn("ver", F.lit(0).cast("long"))
+    several = several.withColumn("__several", F.lit(True))
+    joined = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left")
+    return joined.select("doc_id", "data", F.when(F.col("__several"), h).otherwise(F.lit(0).cast("long")).alias("ver"))
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row of ``docs`` (doc_id, text).
 
     A byte of a text's UTF-8 goes if a string of LENGTH bytes over it lies in a document with a smaller doc_id, too; strings don't cross
     documents and are judged on the input. n_spans counts maximal runs that go. Null and empty texts have nothing to lose. Rows with a
-    null doc_id stay whole and take nothing from others. Repeated rows share their fate and lose nothing to each other; if rows of one
-    doc_id have different texts they count as versions of one document, and places that go from one go from the others. A string
-    that repeats within one document only stays. An empty table gives no rows. Other columns are ignored.
+    null doc_id stay whole and take nothing from others. Rows of one doc_id, equal or not, lose nothing to each other, and each is
+    judged by itself against smaller ids. A string that repeats within one document only stays. An empty table gives no rows.
+    Other columns are ignored.
     """
+    spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets, n_docs = int(total * 0.08) // ANCHORS + 1, total // TEXT + 1
+    rows = _versioned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), data)).select("doc_id", "ver", "data")
+    long_enough = rows.where(f"doc_id is not null and octet_length(data) >= {LENGTH}")
+    counted = checkpoint(long_enough.mapInArrow(_count, "n_bytes long, slots array<int>"))
+    total = counted.agg(F.sum("n_bytes")).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets, n_docs = max(total * GROWTH // STRINGS + 1, PER_TASK * tasks), max(total // TEXT + 1, PER_TASK * tasks)
+    # frequent slots as words of 32 bits: 2^17 rows at most, whatever the corpus
+    slots = counted.select(F.explode("slots").alias("slot"))
+    bit = F.expr("shiftleft(1L, slot & 31)")
+    bits = np.zeros(1 << (SLOT_BITS - 5), np.uint32)
+    for r in slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        bits[r["word"]] = r["bits"]
+    shared = spark.sparkContext.broadcast(bits)
     record = "key long, kind int, blob binary"
 
-    def map_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _map_anchors(batches, n_buckets, n_docs)
-
-    sent = rows.where(f"doc_id is not null and octet_length(data) >= {LENGTH}").mapInArrow(map_anchors, record)
-    settled = checkpoint(sent.groupBy("key").applyInArrow(lambda t: _settle(t, n_docs), record))
-    asked = settled.where(F.col("kind") == ASK)
-    n_asked = asked.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    n_contexts = n_asked // ASK_BYTES // CONTEXTS + 1
+    def map_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
+        return _map_strings(batches, n_buckets, n_docs, frequent)
 
+    sent = long_enough.mapInArrow(map_strings, record)
+    first = checkpoint(sent.groupBy("key").applyInArrow(lambda t: _first(t, n_buckets, n_docs), record))
+    second = first.where(F.col("kind") == STRING).groupBy("key").applyInArrow(lambda t: _settle(t, n_docs), record)
+    known = first.where(F.col("kind") != STRING).unionByName(second)
     null_at = F.pmod(F.xxhash64("data"), F.lit(n_docs))  # nothing is known of rows without id: anywhere
-    dealt = rows.withColumn("key", F.coalesce(doc_bucket_column(F.col("doc_id"), n_docs), null_at)).repartition("key")
-    contexts = dealt.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(lambda a, b: _contexts(a, b, n_contexts), record)
-    spread = F.when(F.col("key") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(n_contexts))).otherwise(F.col("key"))
-    masks = contexts.withColumn("key", spread).groupBy("key").applyInArrow(lambda t: _compare(t, n_contexts, n_docs), record)
-    known = settled.where(F.col("kind") != ASK).unionByName(masks)
+    dealt = rows.withColumn("key", F.coalesce(doc_bucket_column(F.col("doc_id"), n_docs), null_at))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return dealt.groupBy("key").cogroup(known.groupBy("key")).applyInArrow(_apply, result)
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framelog.llm import suffix_dedup as S
@@ -37,30 +38,72 @@ def corpus(seed, n=60):
     return list(zip(rng.sample(range(10_000), len(out)), out))
 
 
-@pytest.mark.parametrize(("seed", "hot", "piece"), [(1, 4000, 1 << 21), (2, 1, 1 << 21), (3, 4000, 97)])
-def test_against_brute_force(spark, monkeypatch, seed, hot, piece):
-    monkeypatch.setattr(S, "HOT", hot)
-    monkeypatch.setattr(S, "PIECE", piece)
-    rows = corpus(seed)
-    ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
-    # the steps by hand, so that patched constants hold (workers have their own)
-    import pyarrow as pa
-
-    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i::3], pa.int64()), pa.array(texts[i::3], pa.binary())], names=["doc_id", "data"]) for i in range(3)]
-    grouped = lambda tables, side=None: {k: pa.Table.from_batches([b.filter(pa.array([x == k for x in b.column("key").to_pylist()], pa.bool_())) for b in tables]) for k in {x for b in tables for x in b.column("key").to_pylist()}}
-    sent = list(S._map_anchors(iter(batches), 3, 5))
-    settled = [b for t in grouped(sent).values() for b in S._settle(t, 5).to_batches()]
+def by_key(batches):
+    rows = [r for b in batches for r in b.to_pylist()]
+    return {k: pa.Table.from_batches([S._batch([(r["key"], r["kind"], r["blob"]) for r in rows if r["key"] == k])]) for k in {r["key"] for r in rows}}
+
+
+def by_steps(rows, frequent=None, n_buckets=3, n_docs=5):
+    """The steps by hand, so that patched constants hold (workers have their own): {(doc_id, text): (bytes, kept, runs)}. Rows: (doc_id, version, text)."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i::3]], pa.int64()) for c in (0, 1)] + [pa.array([r[2].encode() for r in rows[i::3]], pa.binary())], names=["doc_id", "ver", "data"]) for i in range(3)]
+    sent = list(S._map_strings(iter(batches), n_buckets, n_docs, frequent))
+    first = [b for t in by_key(sent).values() for b in S._first(t, n_buckets, n_docs).to_batches()]
+    of = lambda kinds: [b.filter(pa.array([x in kinds for x in b.column("kind").to_pylist()], pa.bool_())) for b in first]
+    second = [b for t in by_key(of({S.STRING})).values() for b in S._settle(t, n_docs).to_batches()]
+    known = by_key(of({S.RANGE, S.ALIAS}) + second)
     everything = pa.Table.from_batches(batches)
-    bucket = S.doc_bucket(np.array(everything.column("doc_id").to_pylist()), 5)
-    left = {k: everything.filter(pa.array(bucket == k)) for k in range(5)}
-    of = lambda parts, kinds: [b.filter(pa.array([x in kinds for x in b.column("kind").to_pylist()], pa.bool_())) for b in parts]
-    asked = grouped(of(settled, {S.ASK}))
-    contexts = [b for k in asked for b in S._contexts(left[k], asked[k], 4).to_batches()]
-    masks = [b for t in grouped(contexts).values() for b in S._compare(t, 4, 5).to_batches()]
-    known = grouped(of(settled, {S.FULL, S.ALIAS}) + masks)
+    bucket = S.doc_bucket(np.array(everything.column("doc_id").to_pylist()), n_docs)
     empty = pa.table({"key": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    got = {r["doc_id"]: (r["n_bytes"], r["kept"], r["n_spans"]) for k in range(5) for r in S._apply(left[k], known.get(k, empty)).to_pylist()}
-    assert got == brute(rows)
+    out = {}
+    for k in range(n_docs):
+        left = everything.filter(pa.array(bucket == k))
+        for t, r in zip(left.column("data").to_pylist(), S._apply(left, known.get(k, empty)).to_pylist(), strict=True):
+            out[r["doc_id"], t.decode()] = r["n_bytes"], r["kept"], r["n_spans"]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "share", "piece", "size"), [(1, 0, 1 << 21, 1 << 22), (2, 0.3, 1 << 21, 1 << 22), (3, 0, 97, 1 << 22), (5, 0.9, 97, 300), (6, 1, 1000, 5000)])
+def test_against_brute_force(monkeypatch, seed, share, piece, size):
+    """With none, some and all K-grams taken for frequent, and with texts cut into pieces."""
+    monkeypatch.setattr(S, "PIECE", piece)
+    monkeypatch.setattr(S, "SLICE", size)
+    rows = corpus(seed)
+    frequent = np.random.default_rng(seed).random(1 << S.SLOT_BITS) < share if share else None
+    got = by_steps([(k, 0, t) for k, t in rows], frequent)
+    assert {k: v for (k, _), v in got.items()} == brute(rows)
+
+
+def test_texts_of_one_id_lose_nothing_to_each_other(spark):
+    rows = corpus(7)
+    merged = [(k // 300, t) for k, t in rows]  # many ids with several texts
+    want = {}
+    for k, t in merged:  # a text is judged against smaller ids only
+        want[k, t] = brute([(j, x) for j, x in enumerate(x for i, x in merged if i < k)] + [(10_000, t)])[10_000]
+    got = by_steps([(k, hash(t) % (1 << 40), t) for k, t in merged])
+    assert got == want
+    df = spark.createDataFrame(merged, "doc_id long, text string")
+    in_spark = {(r.doc_id, r.n_bytes, hashlib.sha256(r.kept).hexdigest(), r.n_spans) for r in S.dedup_substrings(df).collect()}
+    assert in_spark == {(k, n, hashlib.sha256(kept).hexdigest(), runs) for (k, _), (n, kept, runs) in want.items()}
+
+
+def test_no_verdict_by_hash_alone(monkeypatch):
+    """With hashes that collide all over, bytes still decide."""
+    monkeypatch.setattr(S, "_digest", lambda s, gram: np.zeros(len(s), np.uint64))
+    real = S.cut
+    monkeypatch.setattr(S, "cut", lambda *a: (*real(*a)[:4], np.zeros(len(real(*a)[0]), np.uint64)))
+    monkeypatch.setattr(Suffixes, "common", lambda self, a, b: np.full(len(a), self.length))
+    rows = corpus(8, 12)
+    got = by_steps([(k, 0, t) for k, t in rows])
+    assert {k: v for (k, _), v in got.items()} == brute(rows)
+
+
+def test_buckets_are_even():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 2_000_000, np.uint8)
+    _, _, _, gram, _ = S.cut(data, np.array([0, len(data)]), 0, len(data) - S.LENGTH + 1, None)
+    for n in (10, 100, 1000):
+        held = np.bincount(S.bucket_of(gram, n), minlength=n)
+        assert held.max() < 2 * held.mean()
 
 
 def test_in_spark(spark):
