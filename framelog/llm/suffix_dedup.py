@@ -180,8 +180,10 @@ def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by h, and which places of that order have an equal neighbour."""
     order = np.argsort(h)
     s = h[order]
-    same = s[1:] == s[:-1]
-    return order, np.concatenate((same, [False])) | np.concatenate(([False], same))
+    twice = np.zeros(len(h), bool)
+    twice[1:] = s[1:] == s[:-1]
+    twice[:-1] |= twice[1:]
+    return order, twice
 
 
 def _firsts(*columns: np.ndarray) -> np.ndarray:

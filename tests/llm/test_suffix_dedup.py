@@ -97,6 +97,12 @@ def test_no_verdict_by_hash_alone(monkeypatch):
     assert {k: v for (k, _), v in got.items()} == brute(rows)
 
 
+def test_strings_of_no_repeated_gram():
+    one = S.Strings(*(np.zeros(1, k) for k in ("i8", "i8", "u4", "u1")), np.full(1, 60, np.uint8), np.arange(S.WIDE, dtype=np.uint8)[None, :])
+    table = pa.Table.from_batches([S._batch([(0, S.STRING, one.packed())])])
+    assert S._settle(table, 3).num_rows == 0
+
+
 def test_buckets_are_even():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 2_000_000, np.uint8)
