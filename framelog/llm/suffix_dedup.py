@@ -7,8 +7,9 @@ in one place isn't possible, so they are dealt out first, in a way that brings e
    theirs, so a text falls into strings of some 65 bytes, each a run of windows of one K-gram, and each window lies in one string.
    A K-gram's rank is a hash, frequent K-grams after all others: they get only the windows that hold no other K-gram. So the ends of a
    passage that very many documents share, each with a text of its own before it, go by the K-grams of those texts.
-2. Strings travel, compressed, to the bucket of their K-gram. Equal strings of a batch of documents travel once; those of
-   frequent K-grams meet in shares first, so that no bucket gets a copy from every batch.
+2. Only strings whose K-gram several documents have can share a window: hashes of the K-grams are counted first, and each bucket
+   of documents learns which of its own are repeated. Strings of these travel, compressed, to the bucket of their K-gram. Equal
+   strings of a bucket of documents travel once; those of frequent K-grams meet in shares first.
 3. In a bucket the suffixes at the strings' starts are put in order by hash-compared mergesort (``suffix_sort``) and verified by their bytes:
    equal strings are one from then on. Then all windows of the strings left of one K-gram are sorted and verified the same way. Each
    class learns its least document, and windows of later ones go.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ WIDE = LENGTH + WINDOWS - 1
 PIECE, SLICE = 1 << 21, 6 << 20
 #: Mean content of a bucket, in bytes: strings; documents.
 STRINGS, TEXT = 8 << 20, 6 << 20
-#: Bytes of strings for a byte of text.
-GROWTH = 4
+#: Bytes of strings that travel for a byte of text, at most some 3.4 when every string is repeated.
+GROWTH = 2
 #: Buckets for each shuffle partition at least, so that no task goes without.
 PER_TASK = 3
 #: Slots in which K-grams are counted, and from which count (and how many times the mean) on they are frequent.
@@ -195,16 +197,16 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _records(kind: int, n_docs: int, negative: bool, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Records by bucket of the document. In the first shuffle they have negative keys, beside those of the strings."""
+def _records(kind: int, n_docs: int, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Records by bucket of the document, with negative keys, beside those of the strings."""
     out = []
     for k, i in split(doc_bucket(doc, n_docs)):
         i = i[np.argsort(doc[i], kind="stable")]
-        out.append((-1 - k if negative else k, kind, pack(np.diff(doc[i], prepend=0), *(c[i] for c in columns))))
+        out.append((-1 - k, kind, pack(np.diff(doc[i], prepend=0), *(c[i] for c in columns))))
     return out
 
 
-def merge(s: Strings, digest: np.ndarray, n_docs: int, negative: bool) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+def merge(s: Strings, digest: np.ndarray, n_docs: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
     """The places of the strings that stay of equal ones - the least document's first - and what becomes of the others.
 
     Strings whose digest occurs once can't be equal to another and are left out of the sort.
@@ -224,14 +226,15 @@ def merge(s: Strings, digest: np.ndarray, n_docs: int, negative: bool) -> tuple[
     like = ~later & ~first
     gone, twin, own = at[later], at[like], leader[like]
     zero = np.zeros(len(gone), np.uint8)
-    rows_out = _records(RANGE, n_docs, negative, s.doc[gone], s.ver[gone], s.pos[gone], zero, s.size[gone])
-    rows_out += _records(ALIAS, n_docs, negative, s.doc[twin], s.ver[twin], s.pos[twin], s.ver[own], s.pos[own])
+    rows_out = _records(RANGE, n_docs, s.doc[gone], s.ver[gone], s.pos[gone], zero, s.size[gone])
+    rows_out += _records(ALIAS, n_docs, s.doc[twin], s.ver[twin], s.pos[twin], s.ver[own], s.pos[own])
     return np.sort(np.concatenate((order[~twice], at[first]))), rows_out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, versions, data, offsets) of rows (doc_id, ver, data) of some SLICE bytes."""
+    """(ids, versions, data, offsets) of rows (doc_id, ver, data) with an id and long enough, of some SLICE bytes."""
     for batch in batches:
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.greater_equal(pc.binary_length(batch.column(2)), LENGTH)))
         texts = batch.column(2).cast(pa.binary())  # a session may send large types
         ids, versions = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
         ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
@@ -256,27 +259,84 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([slots.astype(np.int32)], pa.list_(pa.int32()))], names=["n_bytes", "slots"])
 
 
-def _map_strings(batches: Iterator[pa.RecordBatch], n_buckets: int, n_docs: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Strings of documents by bucket of their K-gram, equal ones once; what becomes of the others by bucket of the document (negative
-    keys). Strings of frequent K-grams go to shares of their bucket (keys from n_buckets on)."""
-    for ids, versions, data, offsets in _slices(batches):
-        share = int(mixed(ids[:1].view(_U))[0]) % SHARES if len(ids) else 0
+def _cuts(texts: pa.Table, frequent: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, versions, data, offsets, start, stop, place of the K-gram, its hash, digest), the last five of strings, of documents of a
+    bucket; a text longer than SLICE comes in several parts."""
+    for ids, versions, data, offsets in _slices(iter(texts.select(["doc_id", "ver", "data"]).to_batches())):
         n = len(data) - LENGTH + 1
-        padded = np.concatenate((data, np.zeros(WIDE, np.uint8)))
-        for flush in range(0, max(0, n), SLICE):  # one, but for a text that is longer
+        for flush in range(0, n, SLICE):
             parts = [cut(data, offsets, a, min(a + PIECE, flush + SLICE, n), frequent) for a in range(flush, min(flush + SLICE, n), PIECE)]
-            start, stop, place, gram, digest = map(np.concatenate, zip(*parts, strict=True))
-            row = np.searchsorted(offsets, start, "right") - 1
-            bytes_ = padded[start[:, None] + np.arange(WIDE)]
-            bytes_[np.arange(WIDE) >= (stop - start)[:, None]] = 0
-            s = Strings(ids[row], versions[row], (start - offsets[row]).astype(np.uint32), (place - start).astype(np.uint8), (stop - start).astype(np.uint8), bytes_)
-            keep, out = merge(s, digest, n_docs, True)
-            gram = gram[keep]
-            key = bucket_of(gram, n_buckets)
-            if frequent is not None:
-                key = np.where(frequent[(gram >> _U(64 - SLOT_BITS)).astype(np.int64)], n_buckets + key * SHARES + share, key)
-            out += [(k, STRING, s.take(keep[i]).packed()) for k, i in split(key)]
-            yield _batch(out)
+            yield ids, versions, data, offsets, *map(np.concatenate, zip(*parts, strict=True))
+
+
+def _numbers(gram: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of a K-gram and 32 more bits of its hash, in one number. K-grams that fall together only cost the travel of a string."""
+    h = mixed(gram ^ _BUCKETS)
+    return ((h % _U(n_buckets)) << _U(32) | (h // _U(n_buckets)) & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def _tell(texts: pa.Table, n_buckets: int, frequent: np.ndarray | None) -> pa.Table:
+    """The distinct K-grams of a bucket of documents, by their buckets."""
+    out = []
+    grams = [c[7] for c in _cuts(texts, frequent)]
+    if grams:
+        number = np.unique(np.concatenate([np.unique(_numbers(g, n_buckets)) for g in grams]))
+        for k, i in split(number >> 32):
+            out.append((k, texts.column("key")[0].as_py(), pack(np.diff(number[i] & 0xFFFFFFFF, prepend=0).astype(np.uint32))))
+    key, source, blob = zip(*out) if out else ((),) * 3
+    return pa.table([pa.array(key, pa.int64()), pa.array(source, pa.int64()), pa.array(blob, pa.binary())], names=["key", "source", "blob"])
+
+
+def _answer(told: pa.Table) -> pa.Table:
+    """For each bucket of documents, bits that say which of its K-grams of this bucket other buckets of documents have, too."""
+    values = [np.cumsum(unpack(b, "u4")[0][0], dtype=np.uint32) for b in told.column("blob").to_pylist()]
+    order, twice = _repeated(np.concatenate(values))
+    again = np.zeros(len(order), bool)
+    again[order] = twice
+    bits = [np.packbits(x).tobytes() if x.any() else None for x in np.split(again, np.cumsum([len(v) for v in values])[:-1])]
+    answer = pa.table([told.column("source"), told.column("key"), pa.array(bits, pa.binary())], names=["key", "source", "blob"])
+    return answer.filter(pc.is_valid(answer.column("blob")))
+
+
+def _send(texts: pa.Table, answers: pa.Table, n_buckets: int, n_docs: int, frequent: np.ndarray | None) -> pa.Table:
+    """The strings of a bucket of documents whose K-gram several documents have, by bucket of the K-gram, equal ones once; what becomes of the
+    others by bucket of the document (negative keys). Strings of frequent K-grams go to shares of their bucket (keys from n_buckets on)."""
+    cuts = list(_cuts(texts, frequent)) if texts.num_rows else []
+    if not cuts:
+        return pa.Table.from_batches([_batch([])])
+    share = texts.column("key")[0].as_py() % SHARES
+    numbers = [_numbers(c[7], n_buckets) for c in cuts]
+    distinct = np.unique(np.concatenate([np.unique(x) for x in numbers]))
+    wanted = np.zeros(len(distinct), bool)
+    cuts_of = np.searchsorted(distinct >> 32, np.arange(n_buckets + 1))
+    for k, blob in zip(answers.column("source").to_pylist(), answers.column("blob").to_pylist(), strict=True) if answers.num_rows else ():
+        lo, hi = cuts_of[k], cuts_of[k + 1]
+        wanted[lo:hi] = np.unpackbits(np.frombuffer(blob, np.uint8), count=hi - lo)
+    # or several documents of this bucket
+    least, most = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+    places = [np.searchsorted(distinct, x) for x in numbers]
+    documents = [c[0][np.searchsorted(c[3], c[4], "right") - 1] for c in cuts]
+    for at, d in zip(places, documents, strict=True):
+        np.minimum.at(least, at, d)
+        np.maximum.at(most, at, d)
+    wanted |= least < most
+    out: list[tuple[int, int, bytes]] = []
+    for (ids, versions, data, offsets, start, stop, place, gram, digest), at in zip(cuts, places, strict=True):
+        mine = np.flatnonzero(wanted[at])
+        start, stop, place, gram, digest = start[mine], stop[mine], place[mine], gram[mine], digest[mine]
+        row = np.searchsorted(offsets, start, "right") - 1
+        padded = np.concatenate((data, np.zeros(WIDE, np.uint8)))
+        bytes_ = padded[start[:, None] + np.arange(WIDE)]
+        bytes_[np.arange(WIDE) >= (stop - start)[:, None]] = 0
+        s = Strings(ids[row], versions[row], (start - offsets[row]).astype(np.uint32), (place - start).astype(np.uint8), (stop - start).astype(np.uint8), bytes_)
+        keep, gone = merge(s, digest, n_docs)
+        gram = gram[keep]
+        key = bucket_of(gram, n_buckets)
+        if frequent is not None:
+            key = np.where(frequent[(gram >> _U(64 - SLOT_BITS)).astype(np.int64)], n_buckets + key * SHARES + share, key)
+        out += gone
+        out += [(k, STRING, s.take(keep[i]).packed()) for k, i in split(key)]
+    return pa.Table.from_batches([_batch(out)])
 
 
 # ---- steps 2 and 3: suffixes in buckets ------------------------------------------------------------------------------------
@@ -295,19 +355,26 @@ def _digest(s: Strings, gram: np.ndarray) -> np.ndarray:
 
 
 def _first(table: pa.Table, n_buckets: int, n_docs: int) -> pa.Table:
-    """A bucket of strings is settled. Of a share of one, with strings of frequent K-grams, equal strings become one and go on. What batches
-    have settled passes."""
+    """A bucket of strings is settled. Of a share of one, with strings of frequent K-grams, equal strings become one and go on. What is
+    settled (negative keys) passes."""
     key = table.column("key")[0].as_py()
     if key < 0:
-        return table.set_column(0, "key", pa.array(np.full(table.num_rows, -1 - key)))
+        return table
     if key < n_buckets:
         return _settle(table, n_docs)
     s = _content(table)
-    keep, out = merge(s, _digest(s, s.grams()), n_docs, False)
+    keep, out = merge(s, _digest(s, s.grams()), n_docs)
     s = s.take(keep[np.argsort(s.doc[keep], kind="stable")])
     return pa.Table.from_batches([_batch([*out, ((key - n_buckets) // SHARES, STRING, s.packed())])])
 
 
+def _second(table: pa.Table, n_docs: int) -> pa.Table:
+    """What the shares of a bucket have left is settled. From here on keys are buckets of documents."""
+    if table.column("key")[0].as_py() >= 0:
+        table = _settle(table, n_docs)
+    return table.set_column(0, "key", pc.subtract(-1, table.column("key")))
+
+
 def _settle(table: pa.Table, n_docs: int) -> pa.Table:
     """A bucket of strings: the ranges of them that an earlier document has, and strings like another one of their document."""
     s = _content(table)
@@ -315,7 +382,7 @@ def _settle(table: pa.Table, n_docs: int) -> pa.Table:
     order, twice = _repeated(gram)
     at = np.sort(order[twice])  # a string without another one of its K-gram shares no window
     s, gram = s.take(at), gram[at]
-    keep, out = merge(s, _digest(s, gram), n_docs, False)
+    keep, out = merge(s, _digest(s, gram), n_docs)
     s, gram = s.take(keep), gram[keep]
     order, twice = _repeated(gram)
     at = order[twice]
@@ -327,7 +394,7 @@ def _settle(table: pa.Table, n_docs: int) -> pa.Table:
     if len(at):
         s = s.take(at)
         row, low, high = shared_windows(s, gram[at])
-        out += _records(RANGE, n_docs, False, s.doc[row], s.ver[row], s.pos[row], low.astype(np.uint8), high.astype(np.uint8))
+        out += _records(RANGE, n_docs, s.doc[row], s.ver[row], s.pos[row], low.astype(np.uint8), high.astype(np.uint8))
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -457,32 +524,31 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
     rows = _versioned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), data)).select("doc_id", "ver", "data")
-    long_enough = rows.where(f"doc_id is not null and octet_length(data) >= {LENGTH}")
-    counted = checkpoint(long_enough.mapInArrow(_count, "n_bytes long, slots array<int>"))
+    counted = checkpoint(rows.mapInArrow(_count, "n_bytes long, slots array<int>"))
     total = counted.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_docs = max(total * GROWTH // STRINGS + 1, PER_TASK * tasks), max(total // TEXT + 1, PER_TASK * tasks)
     # frequent slots as words of 32 bits: 2^17 rows at most, whatever the corpus
     slots = counted.select(F.explode("slots").alias("slot"))
-    bit = F.expr("shiftleft(1L, slot & 31)")
     bits = np.zeros(1 << (SLOT_BITS - 5), np.uint32)
-    for r in slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+    for r in slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 31)")).alias("bits")).toLocalIterator():
         bits[r["word"]] = r["bits"]
     shared = spark.sparkContext.broadcast(bits)
-    record = "key long, kind int, blob binary"
 
-    def map_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
-        return _map_strings(batches, n_buckets, n_docs, frequent)
+    def frequent() -> np.ndarray:
+        return np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
 
-    sent = long_enough.mapInArrow(map_strings, record)
-    first = checkpoint(sent.groupBy("key").applyInArrow(lambda t: _first(t, n_buckets, n_docs), record))
-    second = first.where(F.col("kind") == STRING).groupBy("key").applyInArrow(lambda t: _settle(t, n_docs), record)
-    known = first.where(F.col("kind") != STRING).unionByName(second)
     null_at = F.pmod(F.xxhash64("data"), F.lit(n_docs))  # nothing is known of rows without id: anywhere
-    dealt = rows.withColumn("key", F.coalesce(doc_bucket_column(F.col("doc_id"), n_docs), null_at))
+    # one exchange of the texts for the three steps that read them
+    dealt = rows.withColumn("key", F.coalesce(doc_bucket_column(F.col("doc_id"), n_docs), null_at)).groupBy("key")
+    told = dealt.applyInArrow(lambda t: _tell(t, n_buckets, frequent()), "key long, source long, blob binary")
+    answers = told.groupBy("key").applyInArrow(_answer, "key long, source long, blob binary")
+    record = "key long, kind int, blob binary"
+    sent = dealt.cogroup(answers.groupBy("key")).applyInArrow(lambda a, b: _send(a, b, n_buckets, n_docs, frequent()), record)
+    first = sent.groupBy("key").applyInArrow(lambda t: _first(t, n_buckets, n_docs), record)
+    known = first.groupBy("key").applyInArrow(lambda t: _second(t, n_docs), record)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return dealt.groupBy("key").cogroup(known.groupBy("key")).applyInArrow(_apply, result)
+    return dealt.cogroup(known.groupBy("key")).applyInArrow(_apply, result)
 
 
 def with_digest(kept: DataFrame) -> DataFrame:

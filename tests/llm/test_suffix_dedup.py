@@ -38,25 +38,25 @@ def corpus(seed, n=60):
     return list(zip(rng.sample(range(10_000), len(out)), out))
 
 
-def by_key(batches):
-    rows = [r for b in batches for r in b.to_pylist()]
-    return {k: pa.Table.from_batches([S._batch([(r["key"], r["kind"], r["blob"]) for r in rows if r["key"] == k])]) for k in {r["key"] for r in rows}}
+def by_key(tables):
+    rows = [r for t in tables for r in t.to_pylist()]
+    return {k: pa.Table.from_pylist([r for r in rows if r["key"] == k], tables[0].schema) for k in {r["key"] for r in rows}}
 
 
 def by_steps(rows, frequent=None, n_buckets=3, n_docs=5):
     """The steps by hand, so that patched constants hold (workers have their own): {(doc_id, text): (bytes, kept, runs)}. Rows: (doc_id, version, text)."""
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i::3]], pa.int64()) for c in (0, 1)] + [pa.array([r[2].encode() for r in rows[i::3]], pa.binary())], names=["doc_id", "ver", "data"]) for i in range(3)]
-    sent = list(S._map_strings(iter(batches), n_buckets, n_docs, frequent))
-    first = [b for t in by_key(sent).values() for b in S._first(t, n_buckets, n_docs).to_batches()]
-    of = lambda kinds: [b.filter(pa.array([x in kinds for x in b.column("kind").to_pylist()], pa.bool_())) for b in first]
-    second = [b for t in by_key(of({S.STRING})).values() for b in S._settle(t, n_docs).to_batches()]
-    known = by_key(of({S.RANGE, S.ALIAS}) + second)
-    everything = pa.Table.from_batches(batches)
+    everything = pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].encode() for r in rows], pa.binary())], names=["doc_id", "ver", "data"])
     bucket = S.doc_bucket(np.array(everything.column("doc_id").to_pylist()), n_docs)
+    dealt = {k: everything.append_column("key", pa.array(bucket)).filter(pa.array(bucket == k)) for k in range(n_docs) if k in bucket}
+    told = by_key([S._tell(t, n_buckets, frequent) for t in dealt.values()])
+    answers = by_key([S._answer(t) for t in told.values()])
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("key", "source", "blob")})
+    sent = by_key([S._send(t, answers.get(k, none), n_buckets, n_docs, frequent) for k, t in dealt.items()])
+    first = by_key([S._first(t, n_buckets, n_docs) for t in sent.values()])
+    known = by_key([S._second(t, n_docs) for t in first.values()])
     empty = pa.table({"key": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
     out = {}
-    for k in range(n_docs):
-        left = everything.filter(pa.array(bucket == k))
+    for k, left in dealt.items():
         for t, r in zip(left.column("data").to_pylist(), S._apply(left, known.get(k, empty)).to_pylist(), strict=True):
             out[r["doc_id"], t.decode()] = r["n_bytes"], r["kept"], r["n_spans"]
     return out
