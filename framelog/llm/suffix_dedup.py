@@ -42,8 +42,6 @@ PIECE, SLICE = 1 << 21, 6 << 20
 STRINGS, TEXT = 8 << 20, 6 << 20
 #: Bytes of strings that travel for a byte of text, at most some 3.4 when every string is repeated.
 GROWTH = 2
-#: Buckets for each shuffle partition at least, so that no task goes without.
-PER_TASK = 3
 #: Slots in which K-grams are counted, and from which count (and how many times the mean) on they are frequent.
 SLOT_BITS, FREQUENT, TIMES_MEAN = 22, 8, 4
 #: Shares in which equal strings of frequent K-grams meet first.
@@ -527,7 +525,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     counted = checkpoint(rows.mapInArrow(_count, "n_bytes long, slots array<int>"))
     total = counted.agg(F.sum("n_bytes")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_docs = max(total * GROWTH // STRINGS + 1, PER_TASK * tasks), max(total // TEXT + 1, PER_TASK * tasks)
+    # buckets of bounded size, and as many as there are tasks; every pair of buckets is a row that travels, so no more than that
+    n_buckets, n_docs = max(total * GROWTH // STRINGS + 1, tasks), max(total // TEXT + 1, tasks)
     # frequent slots as words of 32 bits: 2^17 rows at most, whatever the corpus
     slots = counted.select(F.explode("slots").alias("slot"))
     bits = np.zeros(1 << (SLOT_BITS - 5), np.uint32)
