@@ -1,52 +1,61 @@
 """Line dedup over a whole corpus. DataFrame functions only.
 
-Hashes of the long lines (128 bits), with document and position, are range-partitioned by (hash, document, position) and sorted,
-so that equal lines are neighbours in the order of their documents and a line that a third of all documents share spans
-several partitions instead of filling one. The order doesn't decide: one row per (partition, line, document) goes on into aggregates
-dealt by hash, which count and name the holder, and a salted hash join finds the lines to drop. What a document loses comes back as a bitmap: 63 positions in each long word, words without a
-dropped line left out. Texts never travel with the lines.
+Hashes of the long lines (128 bits) are range-partitioned and sorted by document and position within a hash, the largest document first. Rows
+stream by in that order: where the document changes is a first occurrence, the first one of all is the holder, and the last row of a
+group has the counts. A line that a third of all documents have is dealt by document into shares; one row a share says what all
+of them need to know. What a document loses comes back as a bitmap: 63 positions in each long word, words without a dropped line
+left out. Texts never travel with the lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelog.llm.common import BLANKS, ascii_lower, checkpoint
 
 #: Lines in one word of a bitmap.
 WORD_BITS = 63
-#: A repeated line meets its (single) verdict in so many shares.
-SALTS = 16
+#: Shares of the documents of one line.
+SHARES = 256
+_KEY = ("h1", "h2", "share")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+def _version() -> Column:
+    """Tells apart the different texts of one doc_id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def keep_bitmaps(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc_id, words map<long word number, long bits>) of the lines that documents lose; documents that lose none are absent.
+    """(doc_id, version, words map<long word number, long bits>) of the lines that documents lose; documents that lose none are absent.
 
     Bit p mod 63 of word p div 63 is set when the line at position p goes. Rows with a null doc_id take no part.
     """
-    line = _lines(docs.where("doc_id is not null")).select("doc_id", F.posexplode("lines").alias("pos", "line"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    line = docs.where("doc_id is not null").select("doc_id", _version().alias("version"), F.posexplode(lines).alias("pos", "line"))
     line = line.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
     key = ascii_lower(F.col("line"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int")
     # texts are split and hashed once; what follows samples, sorts and joins these few bytes a line
-    line = checkpoint(line.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_chars), key).alias("h2"), "doc_id", "pos"))
-    line = line.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-
-    # rows of one line in one document may straddle two partitions: one row each first, then count
-    per_doc = line.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-    verdict = seen.where(F.col("n_docs") >= min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n_docs")
-    salted = line.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(verdict, ["h1", "h2", "salt"]).where(F.col("doc_id") != F.col("holder"))
+    line = checkpoint(line.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(min_chars), key).alias("h2"), share.alias("share"), "doc_id", "version", "pos"))
+    dealt = line.repartitionByRange(*_KEY)
+
+    # the order within range partitions serves these windows: no exchange, and frames that end at the row, so that nothing is held
+    order = Window.partitionBy(*_KEY).orderBy(F.desc("doc_id"), "version", "pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("before", F.lag("doc_id").over(order)).withColumn("last", F.lead("doc_id").over(order).isNull())
+    first = F.coalesce((F.col("before") != F.col("doc_id")).cast("long"), F.lit(1).cast("long"))
+    seen = seen.withColumn("n", F.sum(first).over(so_far)).withColumn("top", F.first("doc_id").over(so_far)).where("last").select(*_KEY, "n", "top")
+    whole = Window.partitionBy("h1", "h2")  # a row for each share
+    verdict = seen.withColumn("n_docs", F.sum("n").over(whole)).withColumn("holder", F.max("top").over(whole)).where(F.col("n_docs") >= min_docs)
+    gone = line.join(verdict.select(*_KEY, "holder"), [*_KEY]).where("doc_id <> holder")
 
     word = F.expr(f"cast(pos div {WORD_BITS} as bigint)")
     bit = F.expr(f"shiftleft(cast(1 as bigint), cast(pos % {WORD_BITS} as int))")
-    words = gone.groupBy("doc_id", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    # one exchange serves both aggregates and the join with the documents
+    words = gone.select("doc_id", "version", word.alias("word"), bit.alias("bit")).repartition("doc_id", "version")
+    words = words.groupBy("doc_id", "version", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("doc_id", "version").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -55,10 +64,11 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> D
     A line's key is the line stripped of ASCII white space and lower-cased A-Z. Keys of ``min_chars`` code points or more that
     ``min_docs`` documents hold lose all their lines except those in the largest doc_id that holds them. Null and empty texts are
     one empty line and come back empty. Rows with a null doc_id keep all lines and do not count as holders; rows that repeat a
-    doc_id are judged as one document by position. An empty table gives no rows.
+    doc_id count as one document, and each loses its own lines only. An empty table gives no rows.
     """
-    maps = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs).select(F.col("doc_id").alias("__id"), F.col("words").alias("__words"))
-    joined = docs.drop("n_lines", "n_dropped", "__id", "__words").join(maps.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    maps = keep_bitmaps(docs, min_chars=min_chars, min_docs=min_docs).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("words").alias("__words"))
+    joined = docs.drop("n_lines", "n_dropped", "__id", "__version", "__words")
+    joined = joined.join(maps.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (_version() == F.col("__version")), "left").drop("__id", "__version")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     # the words as a dense array, for constant-time access by line
     dense = F.expr("transform(sequence(0L, array_max(map_keys(__words))), k -> coalesce(try_element_at(__words, k), 0L))")

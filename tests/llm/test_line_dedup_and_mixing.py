@@ -49,6 +49,22 @@ def test_lines_against_brute_force(spark):
     assert got == want and sum(w[1] for w in want.values()) > 1000
 
 
+def test_rows_of_one_id_lose_their_own_lines_only(spark):
+    shared, own = "a line that five documents share, long enough to count", "kept only here, in the second text of document one"
+    rows = [(1, f"{shared}\nown 1"), (1, f"{own}\nsecond\n{shared}")] + [(i, f"{shared}\nown {i}") for i in range(2, 7)]
+    got = {(r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {(1, "own 1", 1), (1, f"{own}\nsecond", 1), (6, f"{shared}\nown 6", 0)} | {(i, f"own {i}", 1) for i in range(2, 6)}
+
+
+def test_windows_stream_over_sorted_range_partitions(spark):
+    """The order that the range partitions are sorted in is what the windows consume: no exchange lies between."""
+    df = docs(spark, [(i, "a line that all of the documents share, word for word") for i in range(9)])
+    plan = line_dedup.keep_bitmaps(df)._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(plan) if "Exchange rangepartitioning(h1" in x)
+    assert "Sort [h1" in plan[at - 1] and "DESC" in plan[at - 1] and "Window" in plan[at - 2]
+    assert sum("Exchange" in x for x in plan) <= 5 and not any("Python" in x or "Arrow" in x for x in plan)
+
+
 def test_odd_rows(spark):
     got = line_dedup.dedup_lines(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r.n_dropped for r in got} == {0}
