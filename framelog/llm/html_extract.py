@@ -1,11 +1,15 @@
 """Main text of web pages with a site style tree.
 
 The DOMs of a host's pages are merged: elements with the same path of tags, classes and ids are one node of the site's tree. For
-every node the pages' styles (the sequence of child elements) and contents (the text below) are counted, and the node's importance
+every node the pages' styles (the sequence of child elements) and contents (what is below) are counted, and the node's importance
 is the larger of the two normalised entropies: a branch that looks and reads the same on all pages is part of the site's
-template, one that differs is content. All elements of a page on one path count together, and pages that read the same count once,
-so that copies of an article stay. Branches of low importance are cut from each page, inside articles too, and so are those that say
-themselves what they are (nav, footer, class="ad", ...). An article or main, and what holds one, is not cut for its importance.
+template, one that differs is content. The tree judges every block element, inside articles and of whatever name; all elements of a page on
+one path count together, and pages that read the same count once, so that copies of an article stay. Importance on hosts with few pages leans
+on what the same path is like in all hosts. Branches of low importance are cut from each page, but for an article or main and what
+holds one.
+
+Names come after the tree: what HTML itself says isn't text (nav, footer, form, ...) goes, and so does what a class, id or role names (an
+advert, a sidebar, comments), unless nothing would be left.
 
 The tree is never gathered in one place: it is rows of (host, node, style, content) counts, combined before the shuffle, and
 only the nodes to cut go back to the pages.
@@ -25,15 +29,18 @@ from pyspark.sql import functions as F
 
 from framelog.llm.common import checkpoint
 
-#: A node is judged when so many pages of its host have it, and cut below this importance.
-MIN_PAGES, MIN_IMPORTANCE = 5, 0.3
+#: A node is cut below this importance.
+MIN_IMPORTANCE = 0.3
+#: How many pages the importance of a path in all hosts weighs, and from how many hosts on it says anything.
+PRIOR_PAGES, PRIOR_HOSTS = 2, 5
 #: Nodes to cut that are sent to all tasks at most; beyond, hosts and pages meet in a shuffle.
 BROADCAST_NODES = 50_000
 SALTS = 16
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea title xmp noembed noframes".split())
+FOREIGN = frozenset("svg math".split())
+RAW = frozenset("script style noscript template iframe object svg canvas textarea title xmp noembed noframes".split())
 NOISE = frozenset("nav aside footer form button select option input label fieldset dialog menu head".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li "
@@ -44,35 +51,45 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div main blockquote td th".split())
-#: Words of a class, id or role that name what doesn't belong to the text.
+#: Words of a class, id or role that name what doesn't belong to the text, and words beside them that make them say something else.
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer header masthead menu modal nav "
     "navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+STATE_WORDS = frozenset("no not non without with has have is open opened closed enabled disabled allowed on off free less hidden page layout wrapper container".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAMING = frozenset(("class", "id", "role"))
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+_DIGITS = re.compile(r"\d+")
 _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its children are elements and texts (str) in order."""
+    """An element: its children are elements and texts (str) in order. Its path is a hash of the tags and names down to it."""
 
-    __slots__ = ("tag", "names", "children", "parent")
+    __slots__ = ("tag", "names", "children", "parent", "path")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent, self.children = tag, names, parent, []
+        self.path = _digest(f"{parent.path if parent else 0}/{tag}.{_DIGITS.sub('#', names)}")
 
     @property
-    def noise(self) -> bool:
-        """Whether tag, class, id or role say that it isn't text of the page."""
-        if self.tag in NOISE:
-            return True
-        if self.tag in ("html", "body", "article", "main") and not self.names:
+    def named_noise(self) -> bool:
+        """Whether a class, id or role says that it isn't text of the page. "no-sidebar" or "comments-open" doesn't."""
+        if not self.names or self.tag in ("html", "body", "article", "main"):
             return False
-        words = {w.lower() for w in _WORDS.findall(self.names)}
-        return bool(words & NOISE_WORDS) and self.tag not in ("html", "body")
+        for name in self.names.split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & NOISE_WORDS and not words & STATE_WORDS:
+                return True
+        return False
+
+
+def _digest(s: str | bytes) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "replace") if isinstance(s, str) else s) - (1 << 63)
 
 
 def parse(page: str | None) -> Node:
@@ -106,44 +123,33 @@ def parse(page: str | None) -> Node:
             up = up.parent
         if up.tag in ends:
             here = up.parent
-        names = " ".join(next(filter(None, n), "") for n in _NAMES.findall(rest)) if "=" in rest else ""
+        names = " ".join(next(filter(None, n[1:]), "") for n in _ATTRIBUTE.findall(rest) if n[0].lower() in _NAMING) if "=" in rest else ""
         node = Node(tag, names, here)
         here.children.append(node)
+        closed = rest.rstrip().endswith("/")
+        if tag in FOREIGN and closed:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not rest.rstrip().endswith("/"):
+        elif tag not in VOID and not closed:
             here = node
 
 
-def walk(root: Node) -> Iterator[tuple[Node, str, bool]]:
-    """(element, path, inside an article or main) of every element, without recursion."""
-    stack = [(root, "", False)]
+def walk(root: Node) -> Iterator[tuple[Node, bool]]:
+    """(element, inside an article or main) of every element, parents first, without recursion."""
+    stack = [(root, False)]
     while stack:
-        node, path, inside = stack.pop()
-        yield node, path, inside
+        node, inside = stack.pop()
+        yield node, inside
         inside = inside or node.tag in ("article", "main")
-        for c in reversed(node.children):
-            if isinstance(c, Node):
-                names = re.sub(r"\d+", "#", c.names)
-                stack.append((c, f"{path}/{c.tag}" + (f".{names}" if names else ""), inside))
-
-
-def flat_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, str):
-            out.append(n)
-        elif n.tag not in RAW:
-            stack.extend(reversed(n.children))
-    return _BLANK.sub(" ", " ".join(out)).strip()
+        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def _judged(root: Node) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(element, path) of the block elements that importance may cut, and the page's outermost articles and mains."""
+def _judged(root: Node) -> tuple[list[Node], list[Node]]:
+    """The block elements that importance may cut, and the page's outermost articles and mains."""
     found, holds, articles = list(walk(root)), set(), []
-    for node, _, inside in found:
+    for node, inside in found:
         if node.tag in ("article", "main"):
             if not inside:
                 articles.append(node)
@@ -151,40 +157,50 @@ def _judged(root: Node) -> tuple[list[tuple[Node, str]], list[Node]]:
             while up and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    return [(n, path) for n, path, _ in found if n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in holds and not n.noise], articles
+    return [n for n, _ in found if n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in holds], articles
+
+
+def _contents(root: Node) -> dict[int, int]:
+    """Hash of what each element holds, 0 for nothing: from the hashes of its children, so that the work is linear in the page."""
+    out: dict[int, int] = {}
+    for node, _ in reversed(list(walk(root))):  # children first
+        parts = []
+        for c in node.children if node.tag not in RAW else ():
+            h = out[id(c)] if isinstance(c, Node) else _digest(s) if (s := _BLANK.sub(" ", c).strip()) else 0
+            if h:
+                parts.append(h.to_bytes(8, "little", signed=True))
+        out[id(node)] = parts[0] and int.from_bytes(parts[0], "little", signed=True) if len(parts) == 1 else _digest(b"".join(parts)) if parts else 0
+    return out
 
 
 def site_nodes(page: str | None) -> Iterator[tuple[int, int, int, int]]:
     """(node, style, content, page), as hashes, of the paths of the page's block elements: its part of the site style tree. Pages whose
     articles, or else whole texts, are equal have the same hash."""
-    digest = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-    root, merged = parse(page), {}
+    root = parse(page)
+    merged: dict[int, tuple[list[str], list[int]]] = {}
     judged, articles = _judged(root)
-    for node, path in judged:
-        styles, contents = merged.setdefault(path, ([], []))
+    holds = _contents(root)
+    for node in judged:
+        styles, contents = merged.setdefault(node.path, ([], []))
         styles.append(" ".join(c.tag for c in node.children if isinstance(c, Node)))
-        contents.append(flat_text(node))
-    same = digest("\n".join(map(flat_text, articles or [root])))
+        contents.append(holds[id(node)])
+    same = _digest(repr([holds[id(n)] for n in articles or [root]]))
     for path, (styles, contents) in merged.items():
-        yield digest(path), digest("\n".join(styles)), digest("\n".join(contents)), same
+        yield path, _digest("\n".join(styles)), _digest(repr(contents)), same
 
 
-def extract(page: str | None, cut: frozenset[int] = frozenset()) -> str:
-    """Text of a page without the nodes in ``cut``: blocks in order, one a line, white space inside a block one space.
-
-    If the page has article or main elements outside noise, only they are read; a header inside them gives its headings.
-    """
-    digest = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-    root = parse(page)
+def _kept(root: Node, cut: frozenset[int], by_name: bool) -> dict[int, bool]:
+    """Whether each element stays."""
     keep: dict[int, bool] = {}
-    has_article = False
-    low = {id(node) for node, path in _judged(root)[0] if digest(path) in cut} if cut else ()
-    for node, _, _ in walk(root):
-        ok = keep.get(id(node.parent), True) if node.parent else True
-        if ok and (node.noise or id(node) in low):
-            ok = False
-        keep[id(node)] = ok
-        has_article = has_article or (ok and node.tag in ("article", "main"))
+    low = {id(n) for n in _judged(root)[0] if n.path in cut} if cut else ()
+    for node, _ in walk(root):
+        ok = keep[id(node.parent)] if node.parent else True
+        keep[id(node)] = ok and not (node.tag in NOISE or id(node) in low or (by_name and node.named_noise))
+    return keep
+
+
+def _blocks(root: Node, keep: dict[int, bool], articles_only: bool) -> list[str]:
+    """The texts of the blocks that stay; a header gives its headings and paragraphs if it is inside an article or main, nothing elsewhere."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -194,37 +210,48 @@ def extract(page: str | None, cut: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         line.clear()
 
-    # (element or text or None for the end of a block, whether inside what is read, inside a header)
-    stack: list[tuple[Node | str | None, bool, bool]] = [(root, not has_article, False)]
+    # (element or text or None for the end of a block, whether it is read, inside an article or main, inside a header)
+    stack: list[tuple[Node | str | None, bool, bool, bool]] = [(root, not articles_only, False, False)]
     while stack:
-        n, read, header = stack.pop()
+        n, read, article, header = stack.pop()
         if n is None:
             flush()
         elif isinstance(n, str):
             if read:
                 line.append(n)
         elif keep[id(n)]:
-            read = (read and not (header and n.tag == "header")) or (has_article and n.tag in ("article", "main"))
+            if n.tag in ("article", "main"):
+                article, read = True, read or (articles_only and not header)
             if n.tag == "header":
                 read, header = False, True
-            elif header and n.tag in HEADING and _in_article(n):
+            elif header and article and (n.tag in HEADING or n.tag == "p"):
                 read = True
             if n.tag == "br":
                 line.append(" ")
             if n.tag in BLOCK:
                 flush()
-                stack.append((None, read, header))
-            stack.extend((c, read, header) for c in reversed(n.children))
+                stack.append((None, read, article, header))
+            stack.extend((c, read, article, header) for c in reversed(n.children))
     flush()
-    return "\n".join(blocks)
+    return blocks
 
 
-def _in_article(node: Node) -> bool:
-    while node.parent:
-        node = node.parent
-        if node.tag in ("article", "main"):
-            return True
-    return False
+def extract(page: str | None, cut: frozenset[int] = frozenset()) -> str:
+    """Text of a page without the nodes in ``cut``: blocks in order, one a line, white space inside a block one space.
+
+    If there is a main with text, or if articles hold half of what is left or more, only they are read: a teaser doesn't stand for its
+    page. If names leave nothing, they are not believed.
+    """
+    root = parse(page)
+    for by_name in (True, False):
+        keep = _kept(root, cut, by_name)
+        everything = _blocks(root, keep, False)
+        if everything:
+            break
+    inner = _blocks(root, keep, True)
+    text, whole = "\n".join(inner), "\n".join(everything)
+    main = any(n.tag == "main" and keep[id(n)] for n, _ in walk(root))
+    return text if text and main or 2 * len(text) >= len(whole) else whole
 
 
 def host(url: str | None) -> str:
@@ -246,16 +273,24 @@ def low_importance(pages: DataFrame) -> DataFrame:
 
     nodes = checkpoint(pages.select("url", "html").mapInArrow(run, "host string, node long, style long, content long, page long").dropDuplicates(["host", "node", "page"]))
 
-    def entropies(of: str) -> DataFrame:
+    def entropies(of: str) -> tuple[DataFrame, DataFrame]:
+        """(host, node, m, entropy) and (node, hosts, entropy): of a host's distinct pages, and of those of all hosts."""
+        # -sum p log p, over log m: 1 when all pages differ or there is but one, 0 when all are alike
+        sums = [F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn")]
+        entropy = F.when(F.col("m") > 1, 1 - F.try_divide(F.col("nlogn"), F.col("m") * F.ln("m"))).otherwise(F.lit(1.0)).alias(f"{of}_entropy")
         counts = nodes.groupBy("host", "node", of).agg(F.count(F.lit(1)).alias("n"))
-        total = counts.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
-        # -sum p log p, over log m: 1 when all pages differ, 0 when all are alike
-        even = F.try_divide(F.col("nlogn"), F.col("m") * F.ln("m"))
-        return total.where(F.col("m") >= MIN_PAGES).select("host", "node", (1 - even).alias(f"{of}_entropy"))
+        own = counts.groupBy("host", "node").agg(*sums)
+        everywhere = counts.groupBy("node", of).agg(F.sum("n").alias("n")).groupBy("node").agg(*sums)
+        return own.select("host", "node", F.col("m").alias(f"{of}_m"), entropy), everywhere.select("node", entropy)
 
-    style, content = entropies("style"), entropies("content")
-    both = style.join(content, ["host", "node"]).where(F.greatest("style_entropy", "content_entropy") < MIN_IMPORTANCE)
-    return both.groupBy("host").agg(F.collect_list("node").alias("cut"))
+    (style, styles), (content, contents) = entropies("style"), entropies("content")
+    own = style.join(content, ["host", "node"]).withColumn("own", F.greatest("style_entropy", "content_entropy")).select("host", "node", F.col("style_m").alias("m"), "own")
+    hosts = own.groupBy("node").agg(F.count(F.lit(1)).alias("hosts"))
+    common = styles.join(contents, "node").join(hosts, "node").where(F.col("hosts") >= PRIOR_HOSTS).select("node", F.greatest("style_entropy", "content_entropy").alias("common"))
+    both = own.join(common, "node", "left").withColumn("common", F.coalesce("common", F.lit(1.0)))
+    # one page of a host says nothing by itself
+    importance = F.when(F.col("m") > 1, (F.col("m") * F.col("own") + PRIOR_PAGES * F.col("common")) / (F.col("m") + PRIOR_PAGES)).otherwise(F.col("common"))
+    return both.where(importance < MIN_IMPORTANCE).groupBy("host").agg(F.collect_list("node").alias("cut"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -287,11 +322,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host(u.as_py()) for u in b.column(1)], pa.string())], names=["page_id", "url", "html", "host"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, frozenset[int]] = "", frozenset()  # rows of a host lie together after the join
         for b in batches:
-            yield rows(b, [frozenset(c.as_py() or ()) for c in b.column(3)])
+            cuts = []
+            for h, c in zip(b.column(3).to_pylist(), b.column(4), strict=True):
+                if h != last[0] or not cuts:
+                    last = h, frozenset(c.as_py() or ())
+                cuts.append(last[1])
+            yield rows(b, cuts)
 
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     with_host = pages.select("page_id", "url", "html").mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
     with_host = with_host.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
     met = with_host.join(cut.withColumn("salt", salt), ["host", "salt"], "left")
-    return met.select("page_id", "url", "html", "cut").mapInArrow(joined, schema)
+    return met.select("page_id", "url", "html", "host", "cut").mapInArrow(joined, schema)

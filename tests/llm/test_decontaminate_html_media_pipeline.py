@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from pathlib import Path
@@ -135,6 +136,90 @@ def test_template_branches_go(spark, monkeypatch, limit):
     assert H.extract_pages(pages(spark, [])).count() == 0
 
 
+def test_names_and_markup_that_once_lost_text():
+    for page in (
+        '<body><svg class="i"/><p>text</p>', '<article class="post comments-open"><p>text</p></article>', '<main class="with-sidebar"><p>text</p></main>',
+        '<div class="no-sidebar content"><p>text</p></div>', '<p data-id="share">text</p>', '<p title=" class=ad">text</p>', '<div class="widget"><p>text</p></div>',
+    ):
+        assert H.extract(page) == "text", page
+    assert H.extract("<body><div class='c'><p>The long main text of this page.</p></div><article><p>Teaser</p></article>") == "The long main text of this page.\nTeaser"
+    assert H.extract("<article><header><h1>H</h1><p>Stand-first.</p></header><p>Let <math><mi>x</mi></math> be.</p></article>") == "H\nStand-first.\nLet x be."
+    assert H.extract("<article><p>a</p></article><div class='reader-comments'><p>c</p></div><div class='cookie-notice open-now'>x</div>" ) == "a"
+
+
+def test_a_very_long_page():
+    paragraphs = [f"Paragraph {k} of a very long page &amp; more." for k in range(60_000)]
+    page = "<body><nav>m</nav><div><div><div>" + "".join(f"<p>{x}" for x in paragraphs) + "</div></div></div><footer>f</footer>"
+    assert H.extract(page) == "\n".join(paragraphs).replace("&amp;", "&")
+    assert len(list(H.site_nodes(page))) == 6
+
+
+def site_of(host, n, seed):
+    """Pages without article elements: menu, notice and legal text are the template's, the rest is their own. (url, page, text)"""
+    rng = random.Random(seed)
+    words = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    menu, notice, legal = (words(k) for k in (8, 20, 15))
+    out = []
+    for k in range(n):
+        own = [words(rng.randint(5, 40)) for _ in range(rng.randint(1, 6))]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        page = f"<html><body><div class='m'><ul><li>{menu}</li><li>home</li></ul></div><div class='n'>{notice}</div><div class='t'>{body}<div class='u'>{legal}</div></div><div class='z'>{legal}</div></body></html>"
+        out.append((f"https://{host}/{k}", page, "\n".join(own)))
+    return out
+
+
+def test_the_tree_alone_extracts_sites_without_names(spark, monkeypatch):
+    monkeypatch.setattr(H, "NOISE", H.RAW)
+    monkeypatch.setattr(H, "NOISE_WORDS", frozenset())
+    sites = [p for k in range(4) for p in site_of(f"s{k}.example", 12, k)]
+    cuts = {r.host: frozenset(r.cut) for r in H.low_importance(pages(spark, [(k, u, p) for k, (u, p, _) in enumerate(sites)])).collect()}
+    assert [H.extract(p, cuts[H.host(u)]) for u, p, _ in sites] == [text for _, _, text in sites]
+
+
+def test_tree_against_brute_force(spark):
+    """Another tree: whole paths and texts as keys, entropies from lists."""
+    rng = random.Random(11)
+    rows = []
+    for h in range(12):
+        for u, p, _ in site_of(f"h{h}.example", rng.choice([1, 1, 2, 3, 6, 15]), rng.choice([1, 2, 3, h])):
+            rows.append((len(rows), u, p))
+    rows += [(900 + k, f"https://x{k}.example/", "<body><div class='b'>the same in all hosts</div><p>own %d</p></body>" % k) for k in range(9)]
+
+    def text(n):
+        parts = [text(c) if isinstance(c, H.Node) else " ".join(c.split()) for c in n.children]
+        return "\x01".join(x for x in parts if x)
+
+    seen = {}
+    for _, u, p in rows:
+        root = H.parse(p)
+        whole, per_path = text(root), {}
+        todo = [(root, ())]
+        while todo:
+            n, path = todo.pop()
+            path = (*path, (n.tag, "".join("#" if c.isdigit() else c for c in n.names)))
+            if n.tag in H.BLOCK and n.tag not in ("html", "body"):
+                per_path.setdefault((path, n.path), []).append((tuple(c.tag for c in n.children if isinstance(c, H.Node)), text(n)))
+            todo += [(c, path) for c in reversed(n.children) if isinstance(c, H.Node)]
+        for key, elements in per_path.items():
+            seen.setdefault(key, {}).setdefault(H.host(u), {})[whole] = ([e[0] for e in elements], [e[1] for e in elements])
+
+    def entropy(values):
+        values = list(map(repr, values))
+        n = len(values)
+        return 1.0 if n == 1 else -sum(values.count(v) / n * math.log(values.count(v) / n, n) for v in set(values))
+
+    both = lambda looks: max(entropy([s for s, _ in looks]), entropy([c for _, c in looks]))
+    want = {}
+    for (_, node), hosts in seen.items():
+        common = both([x for pages_ in hosts.values() for x in pages_.values()]) if len(hosts) >= 5 else 1.0
+        for host, looks in hosts.items():
+            m = len(looks)
+            if (common if m == 1 else (m * both(list(looks.values())) + 2 * common) / (m + 2)) < 0.3 - 1e-9:
+                want.setdefault(host, set()).add(node)
+    got = {r.host: set(r.cut) for r in H.low_importance(pages(spark, rows)).collect()}
+    assert got == want and len(want) > 10
+
+
 def test_repeated_articles_stay(spark):
     same = [(k, f"https://c.example/{k}", PAGE) for k in range(20)]
     assert {(r.text, r.n_chars) for r in H.extract_pages(pages(spark, same)).collect()} == {(H.extract(PAGE), len(H.extract(PAGE)))}
