@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, which all executors share: the one the context has, or else the one that spark.checkpoint.dir
+    names. Only a session in one process (tests) gets a temporary one; a cluster without any is an error."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="framelog-ckpt-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from there, so that a lost executor costs a reread and not
-    a second computation. The folder is the one the session names; only a session without one (tests) gets a temporary one."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelog-ckpt-"))
+    """Write ``df`` once to the shared folder and go on from there, so that a lost executor costs a reread and not a second computation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

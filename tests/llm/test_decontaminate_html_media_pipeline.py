@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -97,13 +98,32 @@ def test_leaks_odd_rows(spark):
     assert {r.doc_id for r in D.decontaminated(docs(spark, ODD), bench).collect()} == {1, 2, 3, 4, 5, None}
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
-    items = [(k, " ".join(f"b{k}x{i}" for i in range(20))) for k in range(6)]
-    texts = [(k, items[k][1]) for k in range(6)]
+def test_the_join_gives_what_one_block_gives(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"b{k}x{i}" for i in range(20))) for k in range(6)] + [(6, "too short"), (7, None), (None, "b0x1 " * 15), (9, " ".join(f"b{0}x{i}" for i in range(20)))]
+    texts = [(k, items[k][1]) for k in range(6)] + [(20 + k, "x " * rng.randint(0, 9) + " ".join(w if rng.random() > 0.05 else "y" for w in items[k % 6][1].split())) for k in range(20)]
+    texts += [(None, items[2][1]), (50, None), (51, "clean text " * 40), (3, items[3][1]), (60, "word " * 150_000 + items[4][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    one = sorted(map(tuple, D.contaminated(docs(spark, texts), bench).collect()))
-    monkeypatch.setattr(D, "BLOCK_TOKENS", 30)
-    assert len(D.blocks(bench)) == 3 and sorted(map(tuple, D.contaminated(docs(spark, texts), bench).collect())) == one and len(one) == 6
+    of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    one, kept = of(D.contaminated(docs(spark, texts), bench)), of(D.decontaminated(docs(spark, texts), bench).drop("key", "blob"))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
+    assert D.single_block(bench) is None
+    assert of(D.contaminated(docs(spark, texts), bench)) == one and of(D.decontaminated(docs(spark, texts), bench).drop("key", "blob")) == kept
+    assert len(one) > 20 and {r.item_id for r in D.short_items(bench).collect()} == {6, 7}
+
+
+def test_hot_seeds_take_no_time():
+    """Many equal and many periodic items against a text that repeats one phrase."""
+    phrase = "lorem ipsum dolor sit amet consetetur"
+    block = D.Block([(k, (phrase.split() * 6)) for k in range(200)] + [(200 + k, phrase.split() * 5 + [f"w{k}"] + phrase.split()) for k in range(20)])
+    began = time.perf_counter()
+    found = D._best(block, iter([" ".join([phrase] * 750)]), 13)
+    assert time.perf_counter() - began < 1.5
+    assert len(found) == 21 and (0, 0, 36, 36, 0, 0) in found
+    began = time.perf_counter()
+    assert len(D._best(D.Block([(k, phrase.split() * 6) for k in range(200)]), iter([" ".join([phrase] * 750)]), 13)) == 1
+    assert time.perf_counter() - began < 0.5
+    assert D._best(D.Block([]), iter(["a b c " * 1000]), 13) == [] == D._best(D.Block([(1, ["a"])]), iter(["a b c " * 1000]), 13)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
