@@ -6,14 +6,13 @@ left, with the words that the mix takes of it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelog.llm import decontaminate, line_dedup, mixing, near_sets, quality
-from framelog.llm.common import table
+from framelog.llm.common import remove, shared_folder, table
 from framelog.session import ship
 
 THRESHOLD = 0.3
@@ -64,11 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents. What a stage leaves lies in the shared folder of the session's checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelog-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table of documents. What a stage leaves lies in the shared folder of the session's checkpoints until the next
+    one has read it; the input of the last stage stays, as its result may be read at any time."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, done = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if done:
+            remove(spark, done)
+        done = f"{base}/{k}"
+        docs = spark.read.parquet(done)
     return STAGES[-1][1](spark, docs, sf_dir)
