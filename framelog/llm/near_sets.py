@@ -1,13 +1,16 @@
 """Near-duplicates by the exact similarity of word shingles: every pair of texts with a Jaccard similarity of 0.8 or more is linked.
 
 Texts are sets of 64-bit hashes of five words each. Two sets of similarity 0.8 share at least K hashes among the
-first n / 5 + K of each (in the order of the hashes, K grows with n), so only those prefixes meet in a shuffle. Hashes that no other text has
-are dropped, and so are texts with fewer than K left; of the rest a text keeps all but its K - 1 most frequent ones, which still must
-hold a shared one. No pair is lost by any of these steps, and a common passage makes no pairs.
-
-Pairs are first made of neighbours under each hash, verified and joined into components; then of all texts under one hash that
-are in different components. A bitmap of each set bounds the similarity from above and keeps most other pairs from the
-comparison of the sets themselves, which decides.
+first n / 5 + K of each, in any order that all texts keep to (K grows with n), so only those prefixes meet in a shuffle. The order is that of
+the hashes, frequent ones after all others: a passage that very many texts share is in no prefix unless it is nearly all of a text. Hashes
+that no other text has are dropped, and so are texts with fewer than K left; of the rest a text keeps all but its K - 1 most frequent
+ones, which still must hold a shared one. No pair is lost by any of these steps.
+
+SimHash's balls come first (``simhash.links``, fingerprints of the same five words): they find most copies with few edits. What they leave apart
+meets under the hashes of the prefixes: in turns, each text is held against the next ones in an order that is another one under each
+hash and in each turn, unless they are in one component already, until a turn finds nothing more. That is linear in the texts under a hash,
+however many; few of them are all held against each other. A bitmap of each set bounds the similarity from above and keeps most
+other pairs from the comparison of the sets themselves, which decides.
 """
 
 from __future__ import annotations
@@ -22,13 +25,17 @@ from pyspark.sql import functions as F
 
 from framelog.llm.common import checkpoint
 from framelog.llm.components import components
-from framelog.llm.simhash import _pieces
+from framelog.llm.simhash import _pieces, links, majority
 
 SHINGLE = 5
 #: Bits of a set's bitmap, as longs.
 LONGS = 16
+#: Texts that a text is held against under a hash, each turn.
+NEXT = 4
 #: Slots of the filter that keeps texts out of the second reading.
 SLOTS = 1 << 25
+#: Slots in which hashes are counted, and from which count of a task (and how many times the mean) on they are frequent.
+COUNT_BITS, FREQUENT, TIMES_MEAN = 22, 8, 4
 
 
 def shingle_set(data: bytes) -> np.ndarray:
@@ -69,23 +76,45 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
+def frequent_slots(docs: DataFrame) -> np.ndarray:
+    """Bits of the slots (the first COUNT_BITS of a hash) that are frequent in some task's texts; of fixed size, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            held = [np.zeros(0, np.uint64), *(shingle_set((t.as_py() or "").encode()) for t in b.column(0))]
+            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+        slots = np.flatnonzero(counts >= max(FREQUENT, TIMES_MEAN * counts.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32))], names=["slot"])
+
+    bits = np.zeros(1 << (COUNT_BITS - 5), np.uint32)
+    slots = docs.select("text").mapInArrow(count, "slot int")
+    for r in slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 31)")).alias("bits")).toLocalIterator():
+        bits[r["word"]] = r["bits"]
+    return bits
+
+
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, n, bits, low) of every row: the set's name and size, its bitmap and the hashes that may meet others."""
+    """(doc_id, name, n, fp, bits, low) of every row: the set's name, size and SimHash, its bitmap and the hashes that may meet others."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            names, sizes, bits, low = [], [], [], []
+            names, sizes, fps, bits, low = [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set((t.as_py() or "").encode())
                 n = len(s)
                 names.append(_name(s))
                 sizes.append(n)
+                fps.append(majority(s))
                 bits.append(_bitmap(s))
-                low.append(s[: n - _at_least(n) + 1 + n // 20].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "name", "n", "bits", "low"])
+                late = frequent[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                low.append(np.concatenate((s[~late], s[late]))[: n - _at_least(n) + 1 + n // 20].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "name", "n", "fp", "bits", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name long, n long, bits array<long>, low array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name long, n long, fp long, bits array<long>, low array<long>")
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -129,6 +158,20 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpoint(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
+def _candidates(meet: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of texts under one hash that aren't joined yet: each text and the NEXT ones in an order of the hash's own, another one
+    each turn. Up to NEXT + 1 texts under a hash that is all of them."""
+    met = meet.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    key = Window.partitionBy("h")
+    met = met.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi")
+    order = key.orderBy(F.xxhash64("name", "h", F.lit(turn)), "name")
+    me = F.struct("name", "n", "root")
+    met = met.select(F.array(*[F.lag(me, k).over(order) for k in range(1, NEXT + 1)]).alias("others"), me.alias("me"))
+    apart = lambda x: x.isNotNull() & (x["root"] != F.col("me.root")) & (5 * x["n"] >= 4 * F.col("me.n")) & (5 * F.col("me.n") >= 4 * x["n"])
+    pairs = met.select("me", F.explode(F.filter("others", apart)).alias("other"))
+    return pairs.select(F.least("me.name", "other.name").alias("a"), F.greatest("me.name", "other.name").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text) that has a doc_id.
 
@@ -137,20 +180,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     rows = checkpoint(_prefixes(docs))
-    nodes = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("low").alias("low")))
+    nodes = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "low")]))
     meet = checkpoint(_meetings(nodes))
-    order = Window.partitionBy("h").orderBy("n", "name")
-    chain = meet.select(F.col("name").alias("b"), "n", F.lag("name").over(order).alias("a"), F.lag("n").over(order).alias("m")).where("5 * m >= 4 * n")
-    edges = _verified(docs, nodes, chain.select("a", "b"))
-    # all others that meet and aren't joined yet
-    roots = components(edges)
-    meet = meet.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    key = Window.partitionBy("h")
-    meet = meet.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi").select("name", "n", "h", "root")
-    x, y = (meet.select("h", F.col("name").alias(k), F.col("n").alias(f"{k}_n"), F.col("root").alias(f"{k}_root")) for k in "ab")
-    across = x.join(y, "h").where("a < b and a_root <> b_root and 5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n").select("a", "b")
-    edges = edges.union(_verified(docs, nodes, across))
-    roots = components(edges).withColumnRenamed("node", "name")
+    heads = checkpoint(nodes.groupBy("fp").agg(F.min("name").alias("head")))
+    near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y")
+    same = nodes.select("fp", F.col("name").alias("a")).join(heads.withColumnRenamed("head", "b"), "fp").where("a <> b")
+    edges, turn = _verified(docs, nodes, near.select("a", "b").union(same.select("a", "b"))), 0
+    while True:
+        roots = components(edges)
+        found = _verified(docs, nodes, _candidates(meet, roots, turn))
+        if found.isEmpty():
+            break
+        edges, turn = checkpoint(edges.union(found).distinct()), turn + 1
+    roots = roots.withColumnRenamed("node", "name")
     named = nodes.select("name", "doc_id").join(roots, "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "name").join(named.select("name", "root").join(least, "root"), "name").select("doc_id", "component_id")

@@ -58,6 +58,14 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of hashes: the bits that more than half of them have."""
+    h, ones = hashes.view(np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[i : i + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row; null and empty texts and texts without words have 0."""
 
@@ -104,6 +112,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2) ->
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` (doc_id, text) that has a doc_id: components of five-word similarity 0.8 or more.
+
+    Fingerprints at 2 bits link copies with few edits only, so links are verified by their words, and what the balls leave apart is held
+    against each other further (``near_sets``).
+    """
+    from framelog.llm import near_sets  # it builds on this module
+
+    return near_sets.near_duplicates(docs)
+
+
 def hex16(fp: Column) -> Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
