@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelog.llm import decontaminate, line_dedup, mixing, near_sets, quality
+from framelog.llm import decontaminate, line_dedup, mixing, quality, simhash
 from framelog.llm.common import remove, shared_folder, table
 from framelog.session import ship
 
@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five-word similarity 0.8 or more) the document with the smallest doc_id stays; so do rows without doc_id."""
     ship(spark)
-    gone = near_sets.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
 
