@@ -30,8 +30,8 @@ from framelog.llm.simhash import _pieces, links, majority
 SHINGLE = 5
 #: Bits of a set's bitmap, as longs.
 LONGS = 16
-#: Texts that a text is held against under a hash, each turn.
-NEXT = 4
+#: Texts that a text is held against under a hash, in the first turn and in each later one.
+FIRST, NEXT = 4, 32
 #: Slots of the filter that keeps texts out of the second reading.
 SLOTS = 1 << 25
 #: Slots in which hashes are counted, and from which count of a task (and how many times the mean) on they are frequent.
@@ -95,11 +95,13 @@ def frequent_slots(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, n, fp, bits, low) of every row: the set's name, size and SimHash, its bitmap and the hashes that may meet others."""
+    """(doc_id, name, n, fp, bits, low) of every row: the set's name, size and SimHash, its bitmap and the hashes that may meet others, these
+    only in the first of a task's rows with this set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(shared.value.view(np.uint8), bitorder="little").astype(bool)
+        known: set[int] = set()
         for b in batches:
             names, sizes, fps, bits, low = [], [], [], [], []
             for t in b.column(1):
@@ -110,16 +112,19 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 fps.append(majority(s))
                 bits.append(_bitmap(s))
                 late = frequent[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                low.append(np.concatenate((s[~late], s[late]))[: n - _at_least(n) + 1 + n // 20].view(np.int64))
+                first = np.concatenate((s[~late], s[late]))[: n - _at_least(n) + 1 + n // 20].view(np.int64)
+                low.append(first[: 0 if names[-1] in known else None])
+                known.add(names[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "name", "n", "fp", "bits", "low"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, name long, n long, fp long, bits array<long>, low array<long>")
 
 
-def _meetings(nodes: DataFrame) -> DataFrame:
+def _meetings(rows: DataFrame) -> DataFrame:
     """(name, n, h): the hashes under which a text meets every text that is similar to it."""
-    rows = nodes.select("name", "n", F.explode("low").alias("h")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    rows = rows.select("name", "n", F.explode("low").alias("h")).repartition("h").dropDuplicates(["h", "name"])
+    rows = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
     whole = Window.partitionBy("name")
     rows = rows.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("r", F.row_number().over(whole.orderBy("df", "h")))
     # a similar text shares K hashes at least: so many that the fewest hashes it may have give it in _prefixes
@@ -158,20 +163,25 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpoint(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
-def _candidates(meet: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of texts under one hash that aren't joined yet: each text and the NEXT ones in an order of the hash's own, another one
-    each turn. Up to NEXT + 1 texts under a hash that is all of them."""
-    met = meet.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    key = Window.partitionBy("h")
-    met = met.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi")
-    order = key.orderBy(F.xxhash64("name", "h", F.lit(turn)), "name")
+def _candidates(met: DataFrame, turn: int, following: int) -> DataFrame:
+    """Pairs (a, b) of texts (name, n, root) under one hash that aren't joined yet: each text and the ``following`` next ones in an order
+    of the hash's own, another one each turn. If the hash has no more than ``following`` + 1 texts that is all pairs."""
+    order = Window.partitionBy("h").orderBy(F.xxhash64("name", "h", F.lit(turn)), "name")
     me = F.struct("name", "n", "root")
-    met = met.select(F.array(*[F.lag(me, k).over(order) for k in range(1, NEXT + 1)]).alias("others"), me.alias("me"))
+    met = met.select(F.array(*[F.lag(me, k).over(order) for k in range(1, following + 1)]).alias("others"), me.alias("me"))
     apart = lambda x: x.isNotNull() & (x["root"] != F.col("me.root")) & (5 * x["n"] >= 4 * F.col("me.n")) & (5 * F.col("me.n") >= 4 * x["n"])
     pairs = met.select("me", F.explode(F.filter("others", apart)).alias("other"))
     return pairs.select(F.least("me.name", "other.name").alias("a"), F.greatest("me.name", "other.name").alias("b"))
 
 
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, n, h, root) of the hashes whose texts aren't all joined."""
+    met = met.drop("root").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    key = Window.partitionBy("h")
+    met = met.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi")
+    return checkpoint(met.select("name", "n", "h", "root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, text) that has a doc_id.
 
@@ -180,18 +190,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     rows = checkpoint(_prefixes(docs))
-    nodes = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "low")]))
-    meet = checkpoint(_meetings(nodes))
+    nodes = checkpoint(rows.groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bits")]))
+    met = checkpoint(_meetings(rows))
     heads = checkpoint(nodes.groupBy("fp").agg(F.min("name").alias("head")))
     near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y")
     same = nodes.select("fp", F.col("name").alias("a")).join(heads.withColumnRenamed("head", "b"), "fp").where("a <> b")
-    edges, turn = _verified(docs, nodes, near.select("a", "b").union(same.select("a", "b"))), 0
+    pairs = near.select("a", "b").union(same.select("a", "b")).union(_candidates(met.withColumn("root", F.col("name")), 0, FIRST))
+    edges, turn = _verified(docs, nodes, pairs), 1
+    roots = components(edges)
     while True:
-        roots = components(edges)
-        found = _verified(docs, nodes, _candidates(meet, roots, turn))
+        met = _open(met, roots)
+        largest = met.groupBy("h").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+        found = _verified(docs, nodes, _candidates(met, turn, NEXT)) if largest > 1 + FIRST * (turn == 1) else edges.limit(0)
         if found.isEmpty():
             break
         edges, turn = checkpoint(edges.union(found).distinct()), turn + 1
+        roots = components(edges)
+        if largest <= NEXT + 1:  # all pairs were held against each other
+            break
     roots = roots.withColumnRenamed("node", "name")
     named = nodes.select("name", "doc_id").join(roots, "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
