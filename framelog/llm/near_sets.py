@@ -7,10 +7,9 @@ that no other text has are dropped, and so are texts with fewer than K left; of
 ones, which still must hold a shared one. No pair is lost by any of these steps.
 
 SimHash's balls come first (``simhash.links``, fingerprints of the same five words): they find most copies with few edits. What they leave apart
-meets under the hashes of the prefixes: in turns, each text is held against the next ones in an order that is another one under each
-hash and in each turn, unless they are in one component already, until a turn finds nothing more. That is linear in the texts under a hash,
-however many; few of them are all held against each other. A bitmap of each set bounds the similarity from above and keeps most
-other pairs from the comparison of the sets themselves, which decides.
+meets under the hashes of the prefixes: each text with a few neighbours, and then, where a hash has texts that aren't all joined, all of
+them in blocks of bounded size. A bitmap of each set bounds the similarity from above and keeps most other pairs from the
+comparison of the sets themselves, which decides.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ from framelog.llm.simhash import _pieces, links, majority
 SHINGLE = 5
 #: Bits of a set's bitmap, as longs.
 LONGS = 16
-#: Texts that a text is held against under a hash, in the first turn and in each later one.
-FIRST, NEXT = 4, 32
+#: Texts that a text is first held against under a hash; texts of a block when all are.
+FOLLOWING, BLOCK = 4, 4096
 #: Slots of the filter that keeps texts out of the second reading.
 SLOTS = 1 << 25
 #: Slots in which hashes are counted, and from which count of a task (and how many times the mean) on they are frequent.
@@ -163,23 +162,47 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpoint(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct())
 
 
-def _candidates(met: DataFrame, turn: int, following: int) -> DataFrame:
-    """Pairs (a, b) of texts (name, n, root) under one hash that aren't joined yet: each text and the ``following`` next ones in an order
-    of the hash's own, another one each turn. If the hash has no more than ``following`` + 1 texts that is all pairs."""
-    order = Window.partitionBy("h").orderBy(F.xxhash64("name", "h", F.lit(turn)), "name")
-    me = F.struct("name", "n", "root")
-    met = met.select(F.array(*[F.lag(me, k).over(order) for k in range(1, following + 1)]).alias("others"), me.alias("me"))
-    apart = lambda x: x.isNotNull() & (x["root"] != F.col("me.root")) & (5 * x["n"] >= 4 * F.col("me.n")) & (5 * F.col("me.n") >= 4 * x["n"])
-    pairs = met.select("me", F.explode(F.filter("others", apart)).alias("other"))
+def _neighbours(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts under one hash: each text and the FOLLOWING next ones in an order that is the same under all hashes, so that
+    pairs recur. If a hash has no more than FOLLOWING + 1 texts that is all pairs."""
+    order = Window.partitionBy("h").orderBy(F.xxhash64("name"), "name")
+    me = F.struct("name", "n")
+    met = met.select(F.array(*[F.lag(me, k).over(order) for k in range(1, FOLLOWING + 1)]).alias("others"), me.alias("me"))
+    like = lambda x: x.isNotNull() & (5 * x["n"] >= 4 * F.col("me.n")) & (5 * F.col("me.n") >= 4 * x["n"])
+    pairs = met.select("me", F.explode(F.filter("others", like)).alias("other"))
     return pairs.select(F.least("me.name", "other.name").alias("a"), F.greatest("me.name", "other.name").alias("b"))
 
 
-def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(name, n, h, root) of the hashes whose texts aren't all joined."""
-    met = met.drop("root").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+def _hold(table: pa.Table) -> pa.Table:
+    """Pairs of two blocks of texts under a hash whose bitmaps allow similarity, if they aren't joined."""
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    name, n, root, block = (table.column(c).to_numpy() for c in ("name", "n", "root", "block"))
+    bits = np.asarray(table.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(-1, LONGS)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    found, step = [np.zeros((0, 2), np.int64)], max(1, (1 << 16) // max(1, len(right)))
+    for k in range(0, len(left), step):
+        x, y = left[k : k + step, None], right[None, :]
+        near = (root[x] != root[y]) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x]) & ((x < y) | (lo != hi))
+        x, y = (z[near] for z in np.broadcast_arrays(x, y))
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        ok = 9 * apart <= n[x] + n[y]
+        found.append(np.stack((name[x[ok]], name[y[ok]]), axis=1))
+    a, b = np.sort(np.concatenate(found), axis=1).T
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _across(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts under one hash that aren't joined and whose bitmaps allow similarity. Texts under a hash that has many are
+    held against each other in blocks of some BLOCK texts, two at a time, so that no task holds all of them."""
+    met = met.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     key = Window.partitionBy("h")
-    met = met.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).where("lo < hi")
-    return checkpoint(met.select("name", "n", "h", "root"))
+    met = met.withColumns({"least": F.min("root").over(key), "most": F.max("root").over(key), "k": F.count(F.lit(1)).over(key)})
+    met = met.where(F.col("k") > FOLLOWING + 1).where("least < most")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("long")
+    met = met.withColumn("block", F.pmod(F.xxhash64("name"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.select("name", "n", "h", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = met.join(nodes.select("name", "bits"), "name")
+    return met.groupBy("h", "lo", "hi").applyInArrow(_hold, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -195,19 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = checkpoint(nodes.groupBy("fp").agg(F.min("name").alias("head")))
     near = links(heads.select("fp")).join(heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y")
     same = nodes.select("fp", F.col("name").alias("a")).join(heads.withColumnRenamed("head", "b"), "fp").where("a <> b")
-    pairs = near.select("a", "b").union(same.select("a", "b")).union(_candidates(met.withColumn("root", F.col("name")), 0, FIRST))
-    edges, turn = _verified(docs, nodes, pairs), 1
-    roots = components(edges)
-    while True:
-        met = _open(met, roots)
-        largest = met.groupBy("h").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-        found = _verified(docs, nodes, _candidates(met, turn, NEXT)) if largest > 1 + FIRST * (turn == 1) else edges.limit(0)
-        if found.isEmpty():
-            break
-        edges, turn = checkpoint(edges.union(found).distinct()), turn + 1
-        roots = components(edges)
-        if largest <= NEXT + 1:  # all pairs were held against each other
-            break
+    pairs = near.select("a", "b").union(same.select("a", "b")).union(_neighbours(met))
+    roots = components(_verified(docs, nodes, pairs))
+    found = _verified(docs, nodes, _across(met, roots, nodes))
+    # what is known is stars; the new links join some of them
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     roots = roots.withColumnRenamed("node", "name")
     named = nodes.select("name", "doc_id").join(roots, "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -61,6 +61,17 @@ def test_near_copies_against_all_pairs(spark):
     assert kept == {i for i in want if want[i] == i}
 
 
+def test_blocks_lose_nothing(spark, monkeypatch):
+    """With a single neighbour and blocks of three, so that nearly all links are found across blocks."""
+    monkeypatch.setattr(N, "FOLLOWING", 1)
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.03 else f"x{k}" for w in base)) for k in range(60)] + corpus(9)[:40]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs(spark, rows)).collect()} == brute(rows)
+
+
 def test_odd_rows_of_near_copies(spark):
     got = {(r.doc_id, r.component_id) for r in N.near_duplicates(docs(spark, ODD)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (6, 6), (7, 6)}
