@@ -51,10 +51,16 @@ def candidates(probes: DataFrame, frames: DataFrame, key: str = "session", *, bu
     return out.select(key, F.col("_t").alias("t_ns"), *[F.col(f"_probe.{c}").alias(c) for c in extra], F.when(timed, F.col("_before")).alias("_before"), F.when(timed, F.col("_after")).alias("_after"))
 
 
+def _fields(c: DataFrame, left: list[str], match: str) -> DataFrame:
+    """The columns ``left`` and those of the matched frame; one whose name a probe's column has, too, is called frame_<name>."""
+    taken = set(left)
+    return c.select(*left, *[F.col(f"{match}.{x}").alias(f"frame_{x}" if x in taken else x) for x in c.schema[match].dataType.names])
+
+
 def backward(probes: DataFrame, frames: DataFrame, key: str = "session", *, bucket_ns: int | None = None) -> DataFrame:
     """Each probe with the frame columns of its backward match; null before all frames (index -1 in the log's own terms)."""
     c = candidates(probes, frames, key, bucket_ns=bucket_ns)
-    return c.select(*[x for x in c.columns if x not in ("_before", "_after")], "_before.*")
+    return _fields(c, [x for x in c.columns if x not in ("_before", "_after")], "_before")
 
 
 def nearest(probes: DataFrame, frames: DataFrame, key: str = "session", *, tolerance_ns: int | None, bucket_ns: int | None = None) -> DataFrame:
@@ -71,7 +77,7 @@ def nearest(probes: DataFrame, frames: DataFrame, key: str = "session", *, toler
     if tolerance_ns is not None:
         near = F.col("gap_ns") <= tolerance_ns
         c = c.withColumn("_best", F.when(near, F.col("_best"))).withColumn("gap_ns", F.when(near, F.col("gap_ns")))
-    return c.select(*[x for x in c.columns if x not in ("_before", "_after", "_best")], "_best.*")
+    return _fields(c, [x for x in c.columns if x not in ("_before", "_after", "_best")], "_best")
 
 
 def paired(controls: DataFrame, frames: DataFrame, key: str = "session", *, tolerance_ns: int | None, bucket_ns: int | None = None) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelog.functions import scalars as S
+from framelog.functions.barcode import decode_columns
+from framelog.functions.jpeg_dc import jpeg_dimensions
 from framelog.operators import asof, devices, quality, runs, segments, stats
 from framelog.operators import events as changes
+from framelog.plans.verify import payload_checks
 from framelog.sources import events, exports, index
 from framelog.sources.events import frames, log
 
@@ -159,10 +162,19 @@ def first_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.limited(frames(spark, sf_dir), seconds=3 * 86_400).select("session", "index", "seq")
 
 
-@query("""WITH @f, s AS (SELECT session, count(*) AS frames, (max(ts_ns) - min(ts_ns)) / 1e9 AS d FROM f GROUP BY 1)
-SELECT session, printf('%d frames, %.2f s, USABLE', frames, d) AS line FROM s""")
+def _shaken(f: DataFrame) -> DataFrame:
+    """Frames whose time runs backwards at every 97th of a third of the sessions."""
+    return f.withColumn("ts_ns", F.when((F.col("session") % 3 == 0) & (F.col("index") % 97 == 60), F.col("ts_ns") - 30 * DAY).otherwise(F.col("ts_ns")))
+
+
+_SHAKEN = "k AS (SELECT * REPLACE (CASE WHEN session % 3 = 0 AND index % 97 = 60 THEN ts_ns - 2592000000000000 ELSE ts_ns END AS ts_ns) FROM f)"
+
+
+@query(f"""WITH @f, {_SHAKEN}, p AS (SELECT *, lag(ts_ns) OVER @w AS previous FROM k),
+s AS (SELECT session, count(*) AS frames, (arg_max(ts_ns, index) - arg_min(ts_ns, index)) / 1e9 AS d, count(*) FILTER (ts_ns < previous) AS back FROM p GROUP BY 1)
+SELECT session, printf('%d frames, %.2f s, %s', frames, d, CASE WHEN back = 0 THEN 'USABLE' ELSE 'DAMAGED' END) AS line FROM s""")
 def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = quality.sequence_gaps(frames(spark, sf_dir))
+    f = quality.sequence_gaps(_shaken(frames(spark, sf_dir)))
     v = quality.verify(f)
     return v.select("session", F.format_string("%d frames, %.2f s, %s", "frames", F.bround("duration_s", 2), S.verdict(F.col("usable"))).alias("line"))
 
@@ -365,12 +377,55 @@ def bright_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scalars
 
 
-@query("SELECT doc_id, octet_length(encode(text)) >= 4 AND hex(encode(text))[1:4] = 'FFD8' AND hex(encode(text))[-4:] = 'FFD9' AS jpeg, left(hex(encode(text)), 8) AS magic FROM documents")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'FFD8' ELSE '' END || hex(encode(text)) || CASE WHEN doc_id % 2 = 0 THEN 'FFD9' ELSE '' END AS h FROM documents)
+SELECT doc_id, length(h) >= 8 AND h[1:4] = 'FFD8' AND h[-4:] = 'FFD9' AS jpeg, left(h, 8) AS magic FROM d""")
 def payload_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = F.encode("text", "UTF-8")
+    """Texts of documents as payloads, with both markers of a JPEG, one or none around them."""
+    start, stop = F.when(F.col("doc_id") % 4 < 2, F.lit(b"\xff\xd8")).otherwise(F.lit(b"")), F.when(F.col("doc_id") % 2 == 0, F.lit(b"\xff\xd9")).otherwise(F.lit(b""))
+    data = F.concat(start, F.encode("text", "UTF-8"), stop)
     return _table(spark, sf_dir, "documents").select("doc_id", S.looks_like_jpeg(data).alias("jpeg"), F.hex(F.substring(data, 1, 4)).alias("magic"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 < 3 THEN (l_partkey % 4000 + 1)::INTEGER END AS width,
+CASE WHEN l_orderkey % 5 < 3 THEN (l_suppkey % 3000 + 1)::INTEGER END AS height FROM lineitem WHERE l_linenumber <= 2""")
+def jpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes out of frame headers: plain, behind a table and padding, progressive, cut off before the size, and none at all."""
+    rows = _table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    short = lambda c: F.unhex(F.lpad(F.hex(c), 4, "0"))
+    size = F.concat(short(F.col("l_suppkey") % 3000 + 1), short(F.col("l_partkey") % 4000 + 1))
+    end = F.lit(bytes.fromhex("01011100ffd9"))
+    kind = F.col("l_orderkey") % 5
+    whole = lambda before, sof: F.concat(F.lit(bytes.fromhex(before + "ff" + sof + "000b08")), size, end)
+    data = (
+        F.when(kind == 0, whole("ffd8", "c0")).when(kind == 1, whole("ffd8ffc400050102c0ffff", "c0")).when(kind == 2, whole("ffd8ffe0000401ff", "c2"))
+        .when(kind == 3, F.lit(bytes.fromhex("ffd8ffc0000b080010"))).otherwise(F.concat(F.lit(b"\xff\xd8\xff\xda\x00\x02"), size, end))
+    )
+    return rows.select("l_orderkey", "l_linenumber", jpeg_dimensions(data).alias("d")).select("l_orderkey", "l_linenumber", "d.*")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 < 4 THEN (event_id * 7919 % 1048576)::INTEGER END AS value FROM events""")
+def bar_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values read back out of rows of levels: clean, dim, and with something bright at the left or on both sides; one bar flipped and a row
+    without contrast give none."""
+    kind, bars = F.col("event_id") % 6, S.encode_bars(F.col("event_id") * 7919 % 1048576)
+    flipped = F.transform(bars, lambda b, i: F.when((kind == 4) & (i == 2 + F.col("event_id") % 24), ~b).otherwise(b))
+    high, low = F.when(kind == 1, 150).when(kind == 5, 130).otherwise(235), F.when(kind == 1, 90).when(kind == 5, 120).otherwise(16)
+    drawn = F.flatten(F.transform(flipped, lambda b: F.array_repeat(F.when(b, high).otherwise(low), 8)))
+    side = F.when(kind >= 2, F.lit(235)).otherwise(low)
+    left, right = F.array_repeat(F.when(kind.isin(2, 3), side).otherwise(low), 11), F.array_repeat(F.when(kind == 3, side).otherwise(low), 9)
+    rows = _table(spark, sf_dir, "events").select("event_id", F.concat(left, drawn, right).cast("array<int>").alias("columns"))
+    return rows.select("event_id", decode_columns("columns")["value"].alias("value"))
+
+
+@query("WITH @f, g AS (SELECT session, index % 5 AS segment, index // 5 AS local_index, seq FROM f), c AS (SELECT session, segment, count(*) AS n FROM g GROUP BY 1, 2), "
+       "s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY session ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c) "
+       "SELECT g.seq, s.before + g.local_index AS index FROM g JOIN s USING (session, segment)")
+def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions counted through the segments of a session."""
+    f = frames(spark, sf_dir).select("session", "seq", (F.col("index") % 5).alias("segment"), F.expr("index div 5").alias("local_index"))
+    return segments.global_index(f).select("seq", "index")
+
+
 _VALUE = "v AS (SELECT event_id, event_id % 1048576 AS v FROM events)"
 _CHECK = "xor(xor(xor(xor(v & 15, (v >> 4) & 15), (v >> 8) & 15), (v >> 12) & 15), (v >> 16) & 15)"
 
@@ -516,27 +571,47 @@ def frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE @f, {_ROLL} SELECT session::VARCHAR AS session, count(DISTINCT segment) AS segments, count(*) AS frames_written, sum(length)::BIGINT AS bytes_written,
-max(ts_ns) - min(ts_ns) AS duration_ns, count(*) / ((max(ts_ns) - min(ts_ns)) / 1e9) AS effective_fps FROM s GROUP BY 1 HAVING count(*) > 1""")
+CASE WHEN session % 7 <> 0 THEN max(ts_ns) - min(ts_ns) + 3500000000 END AS duration_ns,
+CASE WHEN session % 7 <> 0 THEN count(*) / ((max(ts_ns) - min(ts_ns) + 3500000000) / 1e9) END AS effective_fps FROM s GROUP BY session""")
 def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = quality.sequence_gaps(frames(spark, sf_dir))
     cut = segments.rollover(f, 50_000).select("session", "index", "segment").join(f, ["session", "index"])
-    m = exports.build_manifests(cut).where("frames_written > 1")
+    # the clock starts before the first frame and stops after the last one; every seventh session was not closed
+    clocks = f.groupBy("session").agg((F.min("ts_ns") - 1_500_000_000).alias("started_ns"), F.when(F.col("session") % 7 != 0, F.max("ts_ns") + 2_000_000_000).alias("ended_ns"))
+    m = exports.build_manifests(cut, clocks)
     return m.select("session", F.size("segments").cast("long").alias("segments"), "frames_written", "bytes_written", "duration_ns", "effective_fps")
 
 
 # ---- composites
 
 
-@query(f"""WITH @f, {_GAPPED}, p AS (SELECT *, lag(ts_ns) OVER (PARTITION BY session ORDER BY index) AS previous FROM g),
-s AS (SELECT session, count(*) AS frames, count(*) FILTER (ts_ns < previous) AS timestamp_regressions, count(*) FILTER (flags <> 0) AS flagged, count(*) FILTER (flags & 1 <> 0) AS driver_error,
-count(*) FILTER (flags & 2 <> 0) AS corrupt, count(*) FILTER (flags & 4 <> 0) AS gap_before, sum(CASE WHEN flags <> 0 THEN dropped_before ELSE 0 END)::BIGINT AS driver_dropped_total,
-(max(ts_ns) - min(ts_ns)) / 1e9 AS duration_s FROM p GROUP BY 1)
-SELECT *, CASE WHEN duration_s > 0 THEN (frames - 1) / duration_s END AS measured_fps, timestamp_regressions = 0 AS usable FROM s""")
+@query(f"""WITH @f, {_SHAKEN}, g AS (SELECT * REPLACE (flags AS flags), coalesce(greatest(seq - lag(seq) OVER @w - 1, 0), 0) AS dropped_before FROM k),
+p AS (SELECT *, lag(ts_ns) OVER @w AS previous FROM g),
+s AS (SELECT session, count(*) AS frames, count(*) FILTER (ts_ns < previous) AS timestamp_regressions, min(index) FILTER (ts_ns < previous) AS first_regression, count(*) FILTER (flags <> 0) AS flagged,
+count(*) FILTER (flags & 1 <> 0) AS driver_error, count(*) FILTER (flags & 2 <> 0) AS corrupt, count(*) FILTER (flags & 4 <> 0) AS gap_before,
+sum(CASE WHEN flags <> 0 THEN dropped_before ELSE 0 END)::BIGINT AS driver_dropped_total, (arg_max(ts_ns, index) - arg_min(ts_ns, index)) / 1e9 AS duration_s,
+count(*) FILTER (index % 10 = 0 AND length % 5 <> 4) AS checked, count(*) FILTER (index % 10 = 0 AND length % 5 = 4) AS unreadable, count(*) FILTER (index % 10 = 0 AND length % 5 = 3) AS incomplete_jpeg,
+count(*) FILTER (index % 10 = 0 AND length % 5 = 2) AS wrong_size, session % 5 <> 0 AS monotonic, session % 4 <> 0 AS ended FROM p GROUP BY session)
+SELECT session, frames, timestamp_regressions, flagged, driver_error, corrupt, gap_before, driver_dropped_total, duration_s, CASE WHEN duration_s > 0 THEN (frames - 1) / duration_s END AS measured_fps,
+checked, unreadable, incomplete_jpeg, wrong_size, monotonic AND timestamp_regressions = 0 AND unreadable = 0 AS usable,
+concat_ws('; ', CASE WHEN unreadable > 0 THEN unreadable || ' frame(s) could not be read: the stream is truncated' END,
+CASE WHEN NOT monotonic THEN 'frame timestamps are not on the monotonic clock' END,
+CASE WHEN NOT ended THEN 'no end record: the session was not closed; frames before the cut are valid' END,
+CASE WHEN timestamp_regressions > 0 THEN timestamp_regressions || ' timestamp regression(s), first at frame ' || first_regression END,
+CASE WHEN wrong_size > 0 THEN wrong_size || ' frame(s) have another geometry than granted' END) AS problems FROM s""")
 def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).withColumn("own", F.col("flags"))
-    f = quality.sequence_gaps(f).withColumn("flags", F.col("own")).drop("own")
-    names = ("session", "frames", "timestamp_regressions", "flagged", "driver_error", "corrupt", "gap_before", "driver_dropped_total", "duration_s", "measured_fps", "usable")
-    return quality.verify(f).select(*names)
+    """The whole report: index, payloads of every tenth frame and manifests, with every kind of problem among the sessions."""
+    f = _shaken(frames(spark, sf_dir))
+    f = quality.sequence_gaps(f.withColumn("own", F.col("flags"))).withColumn("flags", F.col("own")).drop("own")
+    header = lambda w, tail: F.lit(bytes.fromhex(f"ffd8ffc0000b080030{w:04x}01011100" + tail))
+    kind = F.col("length") % 5
+    data = F.when(kind == 4, None).when(kind == 3, header(64, "")).when(kind == 2, header(80, "ffd9")).otherwise(header(64, "ffd9"))
+    sessions = f.select("session").distinct()
+    granted = sessions.select("session", F.lit("MJPG").alias("pixelformat"), F.lit(64).alias("width"), F.lit(48).alias("height"))
+    checks = payload_checks(f.where("index % 10 = 0").select("session", "index", data.alias("data")), granted)
+    states = sessions.select("session", (F.col("session") % 5 != 0).alias("monotonic"), (F.col("session") % 4 != 0).alias("ended"))
+    names = ("session", "frames", "timestamp_regressions", "flagged", "driver_error", "corrupt", "gap_before", "driver_dropped_total", "duration_s", "measured_fps", "checked", "unreadable", "incomplete_jpeg", "wrong_size", "usable")
+    return quality.verify(f, checks, states).select(*names, F.array_join("problems", "; ").alias("problems"))
 
 
 @query("""WITH @f SELECT session, arg_max(ts_ns, index) AS ts_ns, arg_max(seq, index) AS seq, arg_max(length, index) AS length, arg_max(flags, index) AS flags, count(*) AS generation, count(*) - 1 AS overwritten FROM f GROUP BY 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelog.functions.jpeg_dc import jpeg_dimensions
@@ -23,8 +23,11 @@ def payload_checks(payloads: DataFrame, granted: DataFrame) -> DataFrame:
     whole = F.coalesce(looks_like_jpeg(F.col("data")), F.lit(False))
     p = p.withColumn("_dims", jpeg_dimensions("data")).withColumn("_readable", F.col("data").isNotNull())
     other = F.col("_readable") & jpeg & whole & (F.col("width") > 0) & ((F.col("_dims.width") != F.col("width")) | (F.col("_dims.height") != F.col("height")))
-    return p.groupBy("session").agg(
+    # ten a session, by rank and not out of a list of all
+    bad = p.where(~F.col("_readable")).withColumn("_rank", F.row_number().over(Window.partitionBy("session").orderBy("index"))).where("_rank <= 10")
+    bad = bad.groupBy("session").agg(F.sort_array(F.collect_list("index")).alias("first_unreadable"))
+    out = p.groupBy("session").agg(
         F.count_if("_readable").alias("checked"), F.count_if(~F.col("_readable")).alias("unreadable"), F.count_if(F.col("_readable") & jpeg & ~whole).alias("incomplete_jpeg"),
         F.count_if(other).alias("wrong_size"), F.min(F.when(other, F.col("index"))).alias("first_wrong_size"),
-        F.slice(F.sort_array(F.collect_list(F.when(~F.col("_readable"), F.col("index")))), 1, 10).alias("first_unreadable"),
     )
+    return out.join(bad, "session", "left").withColumn("first_unreadable", F.coalesce("first_unreadable", F.array().cast("array<long>")))

@@ -57,8 +57,12 @@ def write_frames(named: DataFrame, folder: str) -> DataFrame:
     return named.select(F.col("session").cast("string").alias("session"), "name", "data").mapInArrow(run, "name string, bytes long")
 
 
-def build_manifests(frames: DataFrame, stem: str = "frames") -> DataFrame:
-    """A manifest per session of frames (session, segment, index, ts_ns, length, flags, dropped_before), as columns."""
+def build_manifests(frames: DataFrame, clocks: DataFrame | None = None, stem: str = "frames") -> DataFrame:
+    """A manifest per session of frames (session, segment, index, ts_ns, length, flags, dropped_before), as columns.
+
+    Duration and effective rate are those of the session's clock, from ``clocks`` (session, started_ns, ended_ns): null for a session that
+    was not closed, or without clocks. The frames' own span isn't the session's.
+    """
     per = frames.groupBy("session", "segment").agg(F.count(F.lit(1)).alias("frames"), F.sum("length").alias("bytes"), F.min_by("ts_ns", "index").alias("first"), F.max_by("ts_ns", "index").alias("last"), *_counters())
     suffix = F.when(F.col("segment") == 0, "").otherwise(F.concat(F.lit("."), F.lpad(F.col("segment").cast("string"), 3, "0")))
     segment = F.struct(
@@ -67,10 +71,14 @@ def build_manifests(frames: DataFrame, stem: str = "frames") -> DataFrame:
     )
     total = lambda c: F.sum(c).alias(c)
     out = per.groupBy("session").agg(
-        F.array_sort(F.collect_list(segment)).alias("segments"), F.sum("frames").alias("frames_written"), F.sum("bytes").alias("bytes_written"), F.min("first").alias("_first"), F.max("last").alias("_last"),
+        F.array_sort(F.collect_list(segment)).alias("segments"), F.sum("frames").alias("frames_written"), F.sum("bytes").alias("bytes_written"),
         *map(total, ("driver_dropped", "driver_errors", "corrupt")),
     )
-    duration = F.col("_last") - F.col("_first")
+    if clocks is not None:
+        out = out.join(clocks.select("session", (F.col("ended_ns") - F.col("started_ns")).alias("_duration")), "session", "left")
+    else:
+        out = out.withColumn("_duration", F.lit(None).cast("long"))
+    duration = F.col("_duration")
     counters = F.struct(F.col("frames_written").alias("frames"), "driver_dropped", "driver_errors", "corrupt")
     return out.select(
         F.lit(FORMAT_VERSION).alias("format_version"), F.col("session").cast("string").alias("session"), "segments", "frames_written", "bytes_written", counters.alias("counters"),

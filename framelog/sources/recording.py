@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +16,9 @@ from framelog.operators.segments import segment_starts
 from framelog.schema import FORMAT_VERSION, MANIFEST
 from framelog.sources import index
 
+#: Payloads that are handed on at a time, in bytes.
+PAYLOAD_BYTES = 32 << 20
+
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """One row per manifest, with its folder. A format version above the known one is an error; a missing one is accepted."""
@@ -39,21 +49,58 @@ def recording(spark: SparkSession, folder: str) -> DataFrame:
     s = segments(manifests(spark, f"{folder}/**/manifest.json" if "*" not in folder else folder))
     files = _read(spark, folder, "*.idx").select("path", F.col("file").alias("index_file"), _place(F.col("at")).alias("_at"))
     known = s.withColumn("_at", _place(F.col("folder"))).join(files, ["_at", "index_file"]).select("session", "segment", "path")
-    rows = index.decoded(_read(spark, folder, "*.idx")).join(F.broadcast(known) if False else known, "path")
+    rows = index.decoded(_read(spark, folder, "*.idx")).join(known, "path")
     counts = rows.groupBy("session", "segment").agg(F.count(F.lit(1)).alias("frames"))
     starts = segment_starts(counts).select("session", "segment", "segment_start")
     return rows.join(starts, ["session", "segment"]).withColumn("index", F.col("segment_start") + F.col("local_index")).drop("path", "segment_start")
 
 
 def payloads(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
-    """``frames`` of ``recording`` with ``data``, cut from the stream files; where a stream ends too early data is null and error says so.
+    """``frames`` of ``recording`` with ``data``, read from the streams; where a stream ends too early data is null and error says so.
 
-    Filter frames first: only what is left meets the streams. A stream file must fit a value (2 GB).
+    Filter frames first: only what is left is read, a range for each frame, in the order of the files, so a stream may have any length and is
+    read by several tasks. Workers open streams through Arrow's file systems (local, hdfs, s3, ...).
     """
-    s = segments(manifests(spark, f"{folder}/**/manifest.json")).withColumn("_at", _place(F.col("folder"))).select("session", "segment", "_at", F.col("stream").alias("file"))
-    streams = _read(spark, folder, "*").withColumn("_at", _place(F.col("at"))).join(s, ["_at", "file"]).select("session", "segment", "content")
-    met = frames.join(streams, ["session", "segment"], "left")
-    data = F.substring("content", (F.col("byte_offset") + 1).cast("int"), F.col("length").cast("int"))
-    whole = F.length("_data") == F.col("length")
-    met = met.withColumn("_data", data)
-    return met.withColumn("data", F.when(whole, F.col("_data"))).withColumn("error", F.when(~F.coalesce(whole, F.lit(False)), F.lit("the stream is truncated"))).drop("content", "_data")
+    s = segments(manifests(spark, f"{folder}/**/manifest.json")).select("session", "segment", F.concat("folder", F.lit("/"), "stream").alias("_stream"))
+    met = frames.join(s, ["session", "segment"], "left").repartitionByRange("_stream", "byte_offset").sortWithinPartitions("_stream", "byte_offset")
+    kept = [c for c in met.columns if c != "_stream"]
+    schema = met.select(*kept, F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("error")).schema
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = _Streams()
+        for b in batches:
+            where = (b.column(c).to_pylist() for c in ("_stream", "byte_offset", "length"))
+            data, errors, at, size = [], [], 0, 0
+            for k, (stream, offset, n) in enumerate(zip(*where, strict=True)):
+                d = streams.read(stream, int(offset or 0), n or 0)
+                data.append(d)
+                errors.append(None if d is not None else "the stream is truncated")
+                size += len(d or b"")
+                if size >= PAYLOAD_BYTES or k == b.num_rows - 1:  # no more than that in memory
+                    part = b.slice(at, k + 1 - at).select(kept)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array(errors, pa.string())], names=[*kept, "data", "error"])
+                    data, errors, at, size = [], [], k + 1, 0
+
+    return met.mapInArrow(read, schema)
+
+
+class _Streams:
+    """Ranges of files; the last file stays open, as ranges come in order."""
+
+    def __init__(self) -> None:
+        self.path, self.file = None, None
+
+    def read(self, path: str | None, offset: int, n: int) -> bytes | None:
+        """The range, or null if the file is missing or ends before."""
+        if path != self.path:
+            if self.file:
+                self.file.close()
+            self.path, self.file = path, None
+            if path is not None:
+                with contextlib.suppress(FileNotFoundError):
+                    system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                    self.file = system.open_input_file(unquote(place))
+        if self.file is None or offset + n > self.file.size():
+            return None
+        self.file.seek(offset)
+        return self.file.read(n)

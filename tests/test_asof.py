@@ -58,3 +58,11 @@ def test_bad_nearest_frame_is_not_replaced(spark):
     f = spark.createDataFrame([(1, 10, 0, 2), (1, 14, 1, 0), (1, 30, 2, 4)], "session int, ts_ns long, index long, flags long")
     p = spark.createDataFrame([(1, 11), (1, 29), (None, 5)], "session int, t_ns long")
     assert [(r.t_ns, r["index"]) for r in asof.paired(p, f, tolerance_ns=5).collect()] == [(29, 2)]
+
+
+def test_equal_names_of_probes_and_frames(spark):
+    probes = spark.createDataFrame([("a", 15, 1, 2)], "session string, t_ns long, length long, index long")
+    frames = spark.createDataFrame([("a", 10, 0, 7)], "session string, ts_ns long, index long, length long")
+    for df in (asof.backward(probes, frames), asof.nearest(probes, frames, tolerance_ns=None)):
+        (r,) = df.collect()
+        assert (r.length, r["index"], r.frame_length, r.frame_index, r.ts_ns) == (1, 2, 7, 0, 10) and len(set(df.columns)) == len(df.columns)

@@ -1,6 +1,7 @@
 """Index files, recordings and exports, on files made here."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -142,3 +143,36 @@ def test_flags_gaps_and_regressions(spark):
     assert (r.regressions, r.first_regression) == (1, 5)
     assert [(r.dropped_before, r.flags) for r in quality.sequence_gaps(f).orderBy("index").collect()] == [(0, 0), (0, 0), (0, 0), (3, 4), (0, 0), (0, 0), (0, 0)]
     assert quality.gaps(f.limit(2)).count() == 0
+
+
+def test_rollover_keeps_ids_and_takes_rows_without_session_as_one(spark):
+    """Against a plain fold, with ids beyond 2^53, null sessions, frames above the limit and null lengths."""
+    rng, rows = random.Random(2), []
+    for s in (None, 9007199254740993, 9007199254740992, 5):
+        rows += [(s, k, rng.choice([0, 3, 7, 25, None])) for k in range(60)]
+    df = spark.createDataFrame(rows, "session long, index long, length long")
+    for limit in (0, 20, 1000):
+        want = {}
+        for s in {r[0] for r in rows}:
+            segment = offset = 0
+            for _, k, n in (r for r in rows if r[0] == s):
+                if limit and offset + (n or 0) > limit:
+                    segment, offset = segment + 1, 0
+                want[s, k] = segment, offset
+                offset += n or 0
+        assert {(r.session, r["index"]): (r.segment, r.byte_offset) for r in segments.rollover(df, limit).collect()} == want
+
+
+def test_a_stream_beyond_two_gigabytes(spark, tmp_path):
+    folder = tmp_path / "big"
+    folder.mkdir()
+    far = (5 << 30) + 7
+    with (folder / "frames.mjpg").open("wb") as f:
+        f.write(b"first")
+        f.seek(far)
+        f.write(b"last one")  # the rest is a hole in the file
+    (folder / "frames.idx").write_bytes(b"".join(struct.pack("<QIQIII", o, n, 10**9, i, 0, 0) for i, (o, n) in enumerate([(0, 5), (far, 8), (far + 4, 8)])))
+    exports.write_manifest({"session": "big", "segments": [{"number": 0, "stream": "frames.mjpg", "index": "frames.idx"}]}, str(folder / "manifest.json"))
+    frames = recording.recording(spark, str(tmp_path))
+    got = {r["index"]: (r.data and bytes(r.data), r.error) for r in recording.payloads(spark, str(tmp_path), frames).collect()}
+    assert got == {0: (b"first", None), 1: (b"last one", None), 2: (None, "the stream is truncated")}
