@@ -16,13 +16,15 @@ def to_check(frames: DataFrame, *, deep: bool = False, sample: int = 200) -> Dat
 
 
 def payload_checks(payloads: DataFrame, granted: DataFrame) -> DataFrame:
-    """(session, checked, unreadable, incomplete_jpeg, wrong_size, first_wrong_size) of payloads (session, index, data; null: unreadable) against
-    granted (session, pixelformat, width, height)."""
+    """(session, checked, unreadable, incomplete_jpeg, wrong_size, first_wrong_size) of payloads (session, index, data; null: unreadable), or of
+    what ``recording.inspected`` says of them, against granted (session, pixelformat, width, height)."""
     p = payloads.join(granted, "session", "left")
     jpeg = F.col("pixelformat") == "MJPG"
-    whole = F.coalesce(looks_like_jpeg(F.col("data")), F.lit(False))
-    p = p.withColumn("_dims", jpeg_dimensions("data")).withColumn("_readable", F.col("data").isNotNull())
-    other = F.col("_readable") & jpeg & whole & (F.col("width") > 0) & ((F.col("_dims.width") != F.col("width")) | (F.col("_dims.height") != F.col("height")))
+    if "data" in payloads.columns:
+        p = p.withColumns({"whole": F.coalesce(looks_like_jpeg(F.col("data")), F.lit(False)), "readable": F.col("data").isNotNull(), "_dims": jpeg_dimensions("data")})
+        p = p.withColumns({"found_width": F.col("_dims.width"), "found_height": F.col("_dims.height")})
+    p, whole = p.withColumn("_readable", F.col("readable")), F.col("whole")
+    other = F.col("_readable") & jpeg & whole & (F.col("width") > 0) & ((F.col("found_width") != F.col("width")) | (F.col("found_height") != F.col("height")))
     # ten a session, by rank and not out of a list of all
     bad = p.where(~F.col("_readable")).withColumn("_rank", F.row_number().over(Window.partitionBy("session").orderBy("index"))).where("_rank <= 10")
     bad = bad.groupBy("session").agg(F.sort_array(F.collect_list("index")).alias("first_unreadable"))

@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelog.functions.jpeg_dc import dimensions
 from framelog.operators.segments import segment_starts
 from framelog.schema import FORMAT_VERSION, MANIFEST
 from framelog.sources import index
@@ -55,31 +56,54 @@ def recording(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(starts, ["session", "segment"]).withColumn("index", F.col("segment_start") + F.col("local_index")).drop("path", "segment_start")
 
 
+def _placed(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
+    """frames with the path of their stream, in the order of the files; ranges of one file go to several tasks."""
+    s = segments(manifests(spark, f"{folder}/**/manifest.json")).select("session", "segment", F.concat("folder", F.lit("/"), "stream").alias("_stream"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, or else few rows with large payloads end up in one task
+    return frames.join(s, ["session", "segment"], "left").repartitionByRange(parts, "_stream", "byte_offset").sortWithinPartitions("_stream", "byte_offset")
+
+
 def payloads(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
     """``frames`` of ``recording`` with ``data``, read from the streams; where a stream ends too early data is null and error says so.
 
     Filter frames first: only what is left is read, a range for each frame, in the order of the files, so a stream may have any length and is
     read by several tasks. Workers open streams through Arrow's file systems (local, hdfs, s3, ...).
     """
-    s = segments(manifests(spark, f"{folder}/**/manifest.json")).select("session", "segment", F.concat("folder", F.lit("/"), "stream").alias("_stream"))
-    met = frames.join(s, ["session", "segment"], "left").repartitionByRange("_stream", "byte_offset").sortWithinPartitions("_stream", "byte_offset")
+    met = _placed(spark, folder, frames)
     kept = [c for c in met.columns if c != "_stream"]
     schema = met.select(*kept, F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("error")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams = _Streams()
         for b in batches:
-            where = (b.column(c).to_pylist() for c in ("_stream", "byte_offset", "length"))
-            data, errors, at, size = [], [], 0, 0
-            for k, (stream, offset, n) in enumerate(zip(*where, strict=True)):
-                d = streams.read(stream, int(offset or 0), n or 0)
+            data, at, size = [], 0, 0
+            for k, d in enumerate(streams.of(b)):
                 data.append(d)
-                errors.append(None if d is not None else "the stream is truncated")
                 size += len(d or b"")
                 if size >= PAYLOAD_BYTES or k == b.num_rows - 1:  # no more than that in memory
                     part = b.slice(at, k + 1 - at).select(kept)
+                    errors = [None if d is not None else "the stream is truncated" for d in data]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary()), pa.array(errors, pa.string())], names=[*kept, "data", "error"])
-                    data, errors, at, size = [], [], k + 1, 0
+                    data, at, size = [], k + 1, 0
+
+    return met.mapInArrow(read, schema)
+
+
+def inspected(spark: SparkSession, folder: str, frames: DataFrame) -> DataFrame:
+    """(session, index, readable, whole, found_width, found_height) of frames: their payloads are read as in ``payloads`` but don't leave the
+    worker. ``whole`` is whether both markers of a JPEG are there, the size is the frame header's."""
+    met = _placed(spark, folder, frames).select("session", "index", "_stream", "byte_offset", "length")
+    schema = met.select("session", "index").schema.simpleString()[len("struct<") : -1] + ",readable:boolean,whole:boolean,found_width:int,found_height:int"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = _Streams()
+        for b in batches:
+            rows = []
+            for d in streams.of(b):
+                whole = d is not None and len(d) >= 4 and d[:2] == b"\xff\xd8" and d[-2:] == b"\xff\xd9"
+                rows.append((d is not None, whole, *(dimensions(d) or (None, None))))
+            facts = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((),) * 4, (pa.bool_(), pa.bool_(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *facts], names=["session", "index", "readable", "whole", "found_width", "found_height"])
 
     return met.mapInArrow(read, schema)
 
@@ -90,6 +114,11 @@ class _Streams:
     def __init__(self) -> None:
         self.path, self.file = None, None
 
+    def of(self, batch: pa.RecordBatch) -> Iterator[bytes | None]:
+        """The payload of each row (_stream, byte_offset, length, ...)."""
+        for stream, offset, n in zip(*(batch.column(c).to_pylist() for c in ("_stream", "byte_offset", "length")), strict=True):
+            yield self.read(stream, int(offset or 0), n or 0)
+
     def read(self, path: str | None, offset: int, n: int) -> bytes | None:
         """The range, or null if the file is missing or ends before."""
         if path != self.path:

@@ -102,6 +102,8 @@ def test_recording_in_segments(spark, tmp_path):
     granted = recording.manifests(spark, f"{tmp_path}/**/manifest.json").select("session", "granted.*", F.lit(True).alias("monotonic"), F.col("ended").isNotNull().alias("ended"))
     chosen = verify.to_check(frames, sample=50)
     checks = verify.payload_checks(recording.payloads(spark, str(tmp_path), chosen), granted)
+    inside = verify.payload_checks(recording.inspected(spark, str(tmp_path), chosen), granted)
+    assert sorted(map(str, inside.collect())) == sorted(map(str, checks.collect()))
     report = {r.session: r for r in quality.verify(frames, checks, granted).collect()}
     assert report["a"].usable and report["a"].problems == [] and report["a"].checked == 51 and report["a"].wrong_size == 0
     assert not report["b"].usable and report["b"].unreadable > 0 and "truncated" in report["b"].problems[0]
