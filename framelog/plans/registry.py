@@ -17,7 +17,8 @@ from framelog.functions.jpeg_dc import jpeg_dimensions
 from framelog.operators import asof, devices, quality, runs, segments, stats
 from framelog.operators import events as changes
 from framelog.plans.verify import payload_checks
-from framelog.sources import events, exports, index
+from framelog.session import shared_folder
+from framelog.sources import events, exports, index, recording
 from framelog.sources.events import frames, log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +583,17 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("session", F.size("segments").cast("long").alias("segments"), "frames_written", "bytes_written", "duration_ns", "effective_fps")
 
 
+@query(f"""WITH @f, r AS (SELECT *, octet_length(encode('frame ' || seq))::BIGINT AS size FROM f)
+SELECT r.session::VARCHAR AS session, r.index, r.seq, r.ts_ns, r.flags, r.size AS length, md5('frame ' || r.seq) AS digest FROM r""")
+def segment_sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as streams, index files and manifests, and read back with their payloads. The files stay, as the result is read from them."""
+    f = frames(spark, sf_dir).withColumn("data", F.encode(F.concat(F.lit("frame "), F.col("seq")), "UTF-8")).withColumn("dropped_before", F.lit(0).cast("long"))
+    folder = shared_folder(spark, "recordings")
+    exports.write_recordings(f, folder, 200)
+    back = recording.payloads(spark, folder, recording.recording(spark, folder))
+    return back.select("session", "index", "seq", "ts_ns", "flags", "length", F.md5("data").alias("digest"))
+
+
 # ---- composites
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,14 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name in the one for checkpoints, which the driver and all executors share; only a session in one process gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='framelog-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors through Spark, once for each application, so that they need neither its folder nor a path to it."""
     context = spark.sparkContext

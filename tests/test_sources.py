@@ -178,3 +178,21 @@ def test_a_stream_beyond_two_gigabytes(spark, tmp_path):
     frames = recording.recording(spark, str(tmp_path))
     got = {r["index"]: (r.data and bytes(r.data), r.error) for r in recording.payloads(spark, str(tmp_path), frames).collect()}
     assert got == {0: (b"first", None), 1: (b"last one", None), 2: (None, "the stream is truncated")}
+
+
+def test_written_recordings_read_back(spark, tmp_path):
+    """Frames to streams, index files and manifests, and back through recording, payloads and the report."""
+    rng = random.Random(3)
+    rows = [(s, k, 10**9 + k * 16_666_667, 4 * k + 1, k % 7 == 3, int(k % 5 == 2), jpeg(64, 48, rng.randbytes(rng.randrange(60)).replace(b"\xff", b"\0"))) for s in (3, 9007199254740993) for k in range(80)]
+    df = spark.createDataFrame([(s, k, t, q, int(f), d, bytearray(x)) for s, k, t, q, f, d, x in rows], "session long, index long, ts_ns long, seq long, flags long, dropped_before long, data binary")
+    clocks = spark.createDataFrame([(3, 0, 2 * 10**9)], "session long, started_ns long, ended_ns long")
+    assert exports.write_recordings(df, str(tmp_path), 700, clocks) == 2
+    assert not list(tmp_path.rglob("*.part"))
+    frames = recording.recording(spark, str(tmp_path))
+    got = {(r.session, r["index"]): (r.ts_ns, r.seq, r.flags, r.dropped_before, bytes(r.data)) for r in recording.payloads(spark, str(tmp_path), frames).collect()}
+    assert got == {(str(s), k): (t, q, int(f), d, x) for s, k, t, q, f, d, x in rows}
+    held = {r.session: r for r in recording.manifests(spark, f"{tmp_path}/**/manifest.json").collect()}
+    assert held["3"].effective_fps == 40 and held["9007199254740993"].duration_ns is None and held["3"].counters.driver_errors == 11
+    want = {(s, k): g for (s, k), g in ((("3", r["index"]), (r.segment, r.byte_offset)) for r in segments.rollover(df.where("session = 3").withColumn("length", F.octet_length("data").cast("long")), 700).collect())}
+    listed = [(x.number, x.frames) for x in held["3"].segments]
+    assert len(listed) > 3 and listed == sorted((n, sum(v[0] == n for v in want.values())) for n in {v[0] for v in want.values()})
