@@ -22,9 +22,9 @@ BUCKET_ROWS = 4_000
 SALTS = 16
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """Deterministic number in (0, 1) from 52 bits of a digest of the id."""
-    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def uniform(id_col: Column, text: Column, seed: int) -> Column:
+    """Deterministic number in (0, 1) from 52 bits of a digest of the id; of the text for rows without one, which may be many."""
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit(""))))), F.lit(f":{seed}")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -53,22 +53,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, shares: tuple[int,
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text).
 
     ``weights`` (doc_id, weight > 0) gives quality weights; a missing or null one is 1. Null text has size 0; null source is a
-    source of its own, last in order; rows with a null or a repeated doc_id are rows like any other (equal ids, equal keys; ties
-    by size). A document of size 0 takes nothing. An empty table gives no rows. Other columns of ``docs`` are ignored.
+    source of its own, last in order; rows with a null or a repeated doc_id are rows like any other (equal ids, equal keys; rows
+    without an id draw by their text; ties by size). A document of size 0 takes nothing. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    base = docs.select(F.col("doc_id"), src.alias("src"), n_words(F.col("text")).alias("size"))
+    base = docs.select(F.col("doc_id"), src.alias("src"), n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     if weights is not None:
         w = weights.select(F.col("doc_id").alias("w_id"), F.col("weight").cast("double").alias("weight"))
         base = base.join(w, F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
     else:
         base = base.withColumn("weight", F.lit(None).cast("double"))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    base = checkpoint(base.select("doc_id", "src", "size", (-F.ln(uniform(F.col("doc_id"), seed)) / weight).alias("key")))
+    base = checkpoint(base.select("doc_id", "src", "size", (-F.ln("u") / weight).alias("key")))
 
     sizes = base.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goal = targets(sizes, shares, cap).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
     # 1 - exp(-E) spreads the keys over [0, 1) in their order
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS))
     bucket = F.least(n_buckets - 1, F.floor((1 - F.exp(-F.col("key"))) * n_buckets))
@@ -97,7 +97,7 @@ SQL = r"""
 WITH lab AS (SELECT doc_id, avg(quality) + 0.5 AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':9'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null ' || md5(coalesce(d.text, ''))) || ':9'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / CASE WHEN weight > 0 THEN weight ELSE 1.0 END AS k
   FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),

@@ -252,10 +252,11 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE) -> Classifier:
     """Fit on at most ``bound`` labelled rows of ``docs``, never on held-out ones.
 
-    Rows without text are learned from as empty texts. Without labels, or with one label only, every score is the same (0.5, or
+    Of rows with one id the least text is learned from; rows without text as empty texts. Without labels, or with one label only, every score is the same (0.5, or
     near that label)."""
     ids = F.broadcast(sample_ids(labels, bound))  # bounded by ``bound`` rows
-    sample = checkpoint(docs.select("doc_id", "text").join(ids, "doc_id").repartition(8, "doc_id"))
+    sample = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row an id
+    sample = checkpoint(sample.repartition(8, "doc_id"))
     vectors = _vectors(sample)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -267,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE) -> Classifie
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, x binary")
-    got = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in rows.toLocalIterator())  # ``bound`` rows, but for repeated ids
+    got = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in rows.toLocalIterator())  # ``bound`` rows at most
     x = np.array([np.frombuffer(v) for _, _, v in got]).reshape(-1, FEATURES)
     return Classifier(vectors, Network.fit(x, np.array([y for _, y, _ in got])))
 

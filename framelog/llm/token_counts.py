@@ -1,13 +1,14 @@
 """Token counts by pre-token.
 
 A text's tokens are those of its pre-tokens, and pre-tokens repeat, so each batch is turned into per-document pre-token
-frequencies, the pieces of every distinct pre-token are counted once, and the two are joined on the pre-token and summed. No
+frequencies, the pieces of every pre-token that is new to the worker are counted, and the two are joined on the pre-token and summed. No
 list of ids of a text is ever made. The join runs inside the map task on whole documents: shuffling one row per (document,
 distinct pre-token) to a global vocabulary would move several times the input.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,25 @@ KNOWN = 300_000
 LONG = 1 << 20
 
 
+def check_covered(file: dict, path: str) -> None:
+    """Refuse a vocabulary file whose texts don't split as here, so that it gives no wrong counts."""
+    split = file.get("pre_tokenizer") or {}
+    wrong = [
+        what
+        for what, bad in (
+            ("a model other than byte-level BPE", (file.get("model") or {}).get("type") != "BPE"),
+            ("a normalizer", bool(file.get("normalizer"))),
+            ("another pre-tokenizer", split.get("type") != "ByteLevel" or not split.get("use_regex", True)),
+            ("a prefix space", bool(split.get("add_prefix_space"))),
+            ("merges ignored for whole words", bool((file.get("model") or {}).get("ignore_merges"))),
+            ("added tokens that take blanks or whole words", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens") or ())),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} has {', '.join(wrong)}; its pre-tokens can't be counted one by one")
+
+
 class PieceCounter:
     """Counts of the tokens of texts under one byte-level BPE file without normalizer."""
 
@@ -32,6 +52,8 @@ class PieceCounter:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_covered(json.load(f), path)
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
@@ -68,7 +90,8 @@ def default_path() -> str:
 def count_tokens(docs: DataFrame, *, tokenizer_path: str | None = None, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text).
 
-    ``tokenizer_path`` is a byte-level BPE ``tokenizers`` file that every executor has; by default the installed public one.
+    ``tokenizer_path`` is a byte-level BPE ``tokenizers`` file that every executor has; by default the installed public one. A file that splits
+    texts otherwise is an error.
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids are rows like any other; an empty table
     gives no rows; other columns are ignored.
     """

@@ -144,3 +144,21 @@ def test_context_sums_do_not_depend_on_the_split():
     whole = quality.context_sums(iter(texts))
     assert (whole == sum(quality.context_sums(iter([t])) for t in texts)).all() and whole.any()
     assert np.allclose(np.linalg.norm(quality.word_vectors(whole), axis=1).max(), 1)
+
+
+def test_vocabulary_files_that_split_otherwise_are_refused():
+    from framelog.llm.token_counts import check_covered
+
+    good = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}}
+    check_covered(good, "x")
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": {"type": "Unigram"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError, match="can't be counted"):
+            check_covered(good | change, "x")
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = [(k % 10, "good words here " * (k % 10 + 1)) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, quality int")
+    got = quality.classify(docs(spark, rows), labels).collect()
+    once = quality.classify(docs(spark, rows[:10]), labels).collect()
+    assert len(got) == 400 and {(r.doc_id, r.score) for r in got} == {(r.doc_id, r.score) for r in once}
