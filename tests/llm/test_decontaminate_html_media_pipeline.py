@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelog.llm import decontaminate as D
@@ -354,3 +355,45 @@ def test_pipeline(spark):
     assert sizes[0] > sizes[1] == sizes[2] >= sizes[3] > sizes[4] == sizes[5] > 0
     whole = corpus_pipeline.run(spark, str(DATA))
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, d.collect()), key=repr)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and no rows at all go through every stage."""
+    spark.createDataFrame([(3, 1, 0), (6, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "lorem ipsum dolor sit amet " * 4), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h1 string, blob string, taken long"
+    full = [(i, t, "en", None if k % 3 else "s", len(t or ""), "x", None, k) for k, (i, t) in enumerate(ODD)]
+    for rows in (full, []):
+        d = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, str(tmp_path))
+            got = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == d.columns
+            assert len(got) <= len(rows), name
+            if name == "near-duplicates":  # of equal texts the smallest id stays, and every row of it
+                by = [r.doc_id for r in got]
+                assert 7 not in by or 6 not in by
+            d = spark.createDataFrame(got, out.schema)
+
+
+def test_the_pipeline_keeps_what_a_plain_model_keeps(spark, tmp_path):
+    """Line dedup, near copies and decontamination over clean documents, against sets and dictionaries."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, shared = prose(30), "This line of the licence stands in very many of the documents, word for word."
+    texts = [prose(rng.randint(60, 120)) for _ in range(40)]
+    texts += [t.replace(t.split()[20], "changed", 1) for t in texts[:6]] + [f"{prose(50)} {item} {prose(20)}" for _ in range(4)]
+    texts = [f"{shared}\n{t}" if k % 4 == 0 else t for k, t in enumerate(texts)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    holders = [k for k, t in enumerate(texts) if t.startswith(shared)]
+    model = {k: t.removeprefix(f"{shared}\n") if k != max(holders) else t for k, t in enumerate(texts)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in model.items() for w in [t.lower().split()]}
+    near = {k for k in model if any(5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in range(k))}
+    want = {k: t for k, t in model.items() if k not in near and item not in t}
+    out = d.withColumn("n_chars", F.length("text").cast("long"))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, out, str(tmp_path))
+    assert {r.doc_id: r.text for r in out.collect()} == want and len(near) == 6 and len(want) == 40
