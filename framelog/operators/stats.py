@@ -44,8 +44,12 @@ def baseline(frames: DataFrame, first: int = 60) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("session").orderBy("index"))
     rest = frames.where(ok(F.col("flags"))).withColumn("_rank", rank).where(F.col("_rank") <= first)
     s = rest.groupBy("session").agg(F.avg("length").alias("mean"), F.stddev_samp("length").alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    known = (F.col("_n") > 2) & (F.col("_sd") > 0)
-    return s.select("session", "mean", F.when(known, F.col("_sd")).otherwise(F.greatest(F.lit(1.0), F.col("mean") * 0.01)).alias("sd"))
+    return s.select("session", "mean", deviation(F.col("mean"), F.col("_sd"), F.col("_n")).alias("sd"))
+
+
+def deviation(mean: Column, sd: Column, n: Column) -> Column:
+    """The deviation of a baseline: without spread, or out of two frames or fewer, a hundredth of the mean and 1 at least."""
+    return F.when((n > 2) & (sd > 0), sd).otherwise(F.greatest(F.lit(1.0), mean * 0.01))
 
 
 def latency_summary(latencies: DataFrame, *keys: str) -> DataFrame:
