@@ -6,7 +6,7 @@ is its completion, with the spans of assistant text that a loss may see. Everyth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A turn is rendered as head, role, neck, text, tail.
@@ -14,13 +14,15 @@ HEAD, NECK, TAIL = "<|", "|>\n", "<|end|>\n"
 
 
 def gather(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<turn, role, text>>), in the order of turn, role, text; nulls first.
+    """(pair, conv_id, turns array<struct<turn, role, text>>), in the order of turn, role, text; nulls first. Conversations that differ in the
+    last bit of conv_id are a pair, and lie together: one exchange serves this and ``swapped_replies``.
 
     Null roles and texts become empty. Turns without a conv_id belong to no conversation and are left out. A conversation is
     one row from here on, as it is in the result.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    dealt = turns.where("conv_id is not null").withColumn("pair", F.shiftright("conv_id", 1)).repartition("pair")
+    return dealt.groupBy("pair", "conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
 def _rendered(turns: str) -> str:
@@ -66,8 +68,8 @@ def swapped_replies(convs: DataFrame) -> DataFrame:
     last = "filter(turns, t -> t.role = 'assistant')[size(filter(turns, t -> t.role = 'assistant')) - 1]"
     at = "coalesce(array_max(transform(turns, (t, i) -> if(t.role = 'assistant', i, null))), size(turns))"
     reply = F.expr(f"if(exists(turns, t -> t.role = 'assistant'), array({last}), slice(turns, 1, 0))")
-    other = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("other_id"), reply.alias("reply"))
-    joined = convs.join(other, F.col("conv_id") == F.col("other_id"), "left")
+    by = Window.partitionBy("pair").orderBy("conv_id")  # two rows at most
+    joined = convs.withColumn("own", reply).withColumn("reply", F.coalesce(F.lag("own").over(by), F.lead("own").over(by)))
     rejected = F.expr(f"concat(slice(turns, 1, {at}), coalesce(reply, slice(turns, 1, 0)))")
     return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
