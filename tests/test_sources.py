@@ -4,6 +4,7 @@ import json
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,30 @@ def test_written_recordings_read_back(spark, tmp_path):
     want = {(s, k): g for (s, k), g in ((("3", r["index"]), (r.segment, r.byte_offset)) for r in segments.rollover(df.where("session = 3").withColumn("length", F.octet_length("data").cast("long")), 700).collect())}
     listed = [(x.number, x.frames) for x in held["3"].segments]
     assert len(listed) > 3 and listed == sorted((n, sum(v[0] == n for v in want.values())) for n in {v[0] for v in want.values()})
+
+
+def test_recordings_are_listed_and_read_by_workers(spark, tmp_path):
+    """The driver lists no files, however many sessions there are; names that Spark's readers pass over are kept, and few listed rows don't count as a small table."""
+    rows = [(s, k, 10**9 + k, k, 0, 0, bytearray(f"{s} {k}".encode())) for s in ("_a", ".b", "c d", "50") for k in range(40)]
+    df = spark.createDataFrame(rows, "session string, index long, ts_ns long, seq long, flags long, dropped_before long, data binary")
+    assert exports.write_recordings(df, str(tmp_path), 60) == 4
+    (tmp_path / "empty").mkdir()
+    frames = recording.recording(spark, str(tmp_path))
+    data = recording.payloads(spark, str(tmp_path), frames)
+    assert frames.inputFiles() == data.inputFiles() == recording.manifests(spark, f"{tmp_path}/**/manifest.json").inputFiles() == []
+    assert sorted((r.session, r["index"], bytes(r.data)) for r in data.collect()) == sorted((s, k, bytes(x)) for s, k, *_, x in rows)
+    assert int(str(frames._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1 << 40  # unknown counts as large
+    assert dict(frames.dtypes) == {f.split()[0]: f.split()[1].replace("long", "bigint") for f in f"{index.INDEX}, index long".split(", ")}
+
+
+def test_ranges_of_index_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "RECORDS_PER_PARTITION", 7)
+    monkeypatch.setattr(index, "BATCH", 5)
+    write_index(tmp_path / "frames.idx", 16, tail=b"torn")
+    (tmp_path / "none.idx").write_bytes(b"")
+    write_index(tmp_path / "frames.002.idx", 3, start=16)
+    listed = pa.RecordBatch.from_pydict({"session": ["s"], "folder": [tmp_path.as_uri()], "files": [["frames.idx", "none.idx", "lost.idx", None, "frames.002.idx"]]})
+    ranges = list(recording._ranges(iter([listed])))
+    assert [(r["segment"], r["start"], r["first"], r["count"]) for b in ranges for r in b.to_pylist()] == [(0, 0, 0, 7), (0, 0, 7, 7), (0, 0, 14, 2), (4, 16, 0, 3)]
+    rows = [r for b in recording._records(iter(ranges)) for r in b.to_pylist()]
+    assert [(r["index"], r["seq"], r["segment"], r["local_index"]) for r in rows] == [(k, k, 0 if k < 16 else 4, k % 16) for k in range(19)]
