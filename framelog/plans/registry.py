@@ -177,7 +177,7 @@ SELECT session, printf('%d frames, %.2f s, %s', frames, d, CASE WHEN back = 0 TH
 def verdict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = quality.sequence_gaps(_shaken(frames(spark, sf_dir)))
     v = quality.verify(f)
-    return v.select("session", F.format_string("%d frames, %.2f s, %s", "frames", F.bround("duration_s", 2), S.verdict(F.col("usable"))).alias("line"))
+    return v.select("session", F.concat("frames", F.lit(" frames, "), S.hundredths(F.col("duration_s")), F.lit(" s, "), S.verdict(F.col("usable"))).alias("line"))
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_brand = 'Brand#13' AND p_size = 10")
